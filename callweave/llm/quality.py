@@ -51,7 +51,6 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         "_q_word_chars": F.length("_q_solid").cast("long"),
         "_q_n_symbols": (F.length("_q_solid") - F.length(F.translate("_q_solid", SYMBOLS, ""))).cast("long"),
         "_q_n_dup_lines": F.coalesce(F.size("_q_lines") - F.size(F.array_distinct("_q_lines")), F.lit(0)).cast("long"),
-        "_q_n_lines": F.when(n == 0, 0).otherwise(F.coalesce(F.size("_q_lines"), F.lit(1))).cast("long"),
         "_q_zip": F.slice(F.arrays_zip(F.col("_q_words").alias("a"), F.slice("_q_words", 2, n).alias("b"), F.slice("_q_words", 3, n).alias("c")),
                           F.lit(1), F.greatest(n - 2, F.lit(0))),
     })
@@ -61,7 +60,13 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     same = lambda e, j: F.coalesce(F.get("_q_sorted", j - 1)["h"] == e["h"], F.lit(False)) | F.coalesce(F.get("_q_sorted", j + 1)["h"] == e["h"], F.lit(False))
     d = d.withColumn("_q_at", F.transform(F.filter("_q_sorted", same), lambda e: e["i"]))
     hit = F.array_union(F.array_union("_q_at", F.transform("_q_at", lambda i: i + 1)), F.transform("_q_at", lambda i: i + 2))
-    return d.withColumn("_q_n_repeat_words", F.coalesce(F.size(hit), F.lit(0)).cast("long"))
+    return d.withColumn("_q_n_repeat_words", _held(F.coalesce(F.size(hit), F.lit(0)).cast("long")))
+
+
+def _held(c: Column) -> Column:
+    """``c`` behind an expression that the optimizer takes for nondeterministic: filters on it stay above, else they
+    are pushed down with all arrays written out, lambdas included, and each element computes its array anew."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
 
 
 def base_rules() -> list[Rule]:
@@ -71,10 +76,10 @@ def base_rules() -> list[Rule]:
 
 def standard_rules() -> list[Rule]:
     """The rules beside the base ones; thresholds are the defaults of this operator."""
-    n, chars = F.col("_q_n_words"), F.col("_q_word_chars")
+    n, chars, all_lines = F.col("_q_n_words"), F.col("_q_word_chars"), F.length(F.array_join("_q_lines", ""))
     return [
         Rule("symbols", F.col("_q_n_symbols") * 10 > n),
-        Rule("duplicate_lines", F.col("_q_n_dup_lines") * 100 > F.col("_q_n_lines") * 30),
+        Rule("duplicate_lines", (F.col("_q_n_dup_lines") > 0) & ((all_lines - F.length(F.array_join(F.array_distinct("_q_lines"), ""))) * 10 > all_lines * 3)),
         Rule("word_length", (chars < n * 2) | (chars > n * 15)),
         Rule("digits", (F.length("_q_solid") - F.length(F.translate("_q_solid", "0123456789", ""))) * 5 > chars),
         Rule("few_distinct", F.size(F.array_distinct("_q_words")) * 10 < n),

@@ -30,11 +30,11 @@ g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM g WHERE n > 1) GROUP BY doc_id),
 c AS (SELECT w.doc_id, w.w, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,
              len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines,
-             len(l) AS n_lines, len(regexp_extract_all(text, '[0-9]')) AS digits, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+             length(list_aggregate(l, 'string_agg', '')) AS line_chars, length(list_aggregate(list_distinct(l), 'string_agg', '')) AS distinct_chars, len(regexp_extract_all(text, '[0-9]')) AS digits, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR n_symbols * 10 > n_words OR n_dup_lines * 100 > n_lines * 30 OR word_chars < n_words * 2 OR word_chars > n_words * 15
+       NOT (base_failed OR n_symbols * 10 > n_words OR (n_dup_lines > 0 AND (line_chars - distinct_chars) * 10 > line_chars * 3) OR word_chars < n_words * 2 OR word_chars > n_words * 15
             OR digits * 5 > word_chars OR len(list_distinct(w)) * 10 < n_words OR NOT list_has_any(w, [{_STOP}])) AS kept
 FROM b
 """
