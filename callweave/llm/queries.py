@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import language, neardup, quality
+from callweave.llm import language, neardup, packing, quality
 from callweave.llm.common import table
 
 
@@ -20,8 +20,12 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(table(spark, sf_dir, "documents"))
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language, op4_quality_rules, op5_simhash)}
+    return {f.__name__: f for f in (op2_language, op4_quality_rules, op5_simhash, op8_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
