@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import language, neardup, packing, quality
+from callweave.llm import decontaminate, language, licenses, neardup, packing, quality, token_counts
 from callweave.llm.common import table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(table(spark, sf_dir, "documents"))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
@@ -20,12 +24,20 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.digest(table(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_language, op4_quality_rules, op5_simhash, op8_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language, op4_quality_rules, op5_simhash, op6_decontamination, op8_packing, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
