@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import decontaminate, language, licenses, neardup, packing, quality, token_counts
+from callweave.llm import decontaminate, language, licenses, neardup, packing, quality, token_counts, warc
 from callweave.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.digest(table(spark, sf_dir, "pages"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_language, op4_quality_rules, op5_simhash, op6_decontamination, op8_packing, op10_licenses)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language, op4_quality_rules, op5_simhash, op6_decontamination, op7_warc, op8_packing, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
