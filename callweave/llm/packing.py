@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from math import isqrt
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,49 +33,58 @@ CAPACITY, END = 4096, 2
 CACHE_WORDS, CACHE_BYTES = 400_000, 64
 
 
+#: The printable form of each byte in a byte-level vocabulary.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_FORM = {b: b for b in _PRINTED} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
+
+
 class WordTokenizer:
-    """Ids of whole texts from a tokenizer that never joins characters over ASCII white space.
+    """Ids of whole texts from a tokenizer that never joins characters over ASCII white space and folds case.
 
-    Texts are split at ASCII white space and the ids of words are remembered. What a tokenizer does to a word must not
-    depend on other words, which holds for the "word" vocabulary; tests compare whole encodings."""
+    Texts are split at ASCII white space and the ids of words are remembered, A-Z lower-cased. What a tokenizer does to a
+    word must not depend on other words, which holds for the "word" vocabulary; tests compare whole encodings. A word of
+    lower-case letters goes straight to the tokenizer's model; a comma or full stop after one is a token run of its own."""
 
     def __init__(self, path: str, cache_words: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # one task, one core
         from tokenizers import Tokenizer
 
         self.tok, self.young, self.old, self.cache_words = Tokenizer.from_file(path), {}, {}, cache_words
-
-    def _fetch(self, words: list[bytes]) -> dict[bytes, bytes]:
-        got = {}
-        for w, e in zip(words, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False), strict=True):
-            got[w] = np.array(e.ids, "<u4").tobytes()
-        return got
+        self.model, self.special = self.tok.model, [t.content.encode().lower() for t in self.tok.get_added_tokens_decoder().values()]
+
+    def _ids(self, w: bytes) -> bytes:
+        """The ids of one word that isn't remembered."""
+        if w[-1:] in (b",", b".") and w[-2:-1].isalnum():
+            return self._get(w[:-1]) + self._get(w[-1:])
+        s = w.decode("utf-8", "replace")
+        if s.isalpha() and s == s.lower() and (s.isascii() or is_normalized("NFC", s)):
+            form = s if s.isascii() else w.decode("latin-1").translate(_BYTE_FORM)
+            return array("I", [t.id for t in self.model.tokenize(form)]).tobytes()
+        return array("I", self.tok.encode(s, add_special_tokens=False).ids).tobytes()
+
+    def _get(self, w: bytes) -> bytes:
+        ids = self.young.get(w)
+        if ids is None:
+            ids = self.old.get(w)
+            if ids is None:
+                ids = self._ids(w)
+            if len(w) <= CACHE_BYTES:
+                self.young[w] = ids
+        return ids
 
     def encode(self, texts: list[bytes | None]) -> Iterator[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
         for text in texts:
-            words = (text or b"").split()
-            young, old = self.young, self.old
-            missing = [w for w in dict.fromkeys(words) if w not in young]
-            long = {}
-            if missing:
-                fresh = []
-                for w in missing:
-                    if w in old:
-                        young[w] = old[w]
-                    else:
-                        fresh.append(w)
-                for w, ids in self._fetch(fresh).items():
-                    if len(w) > CACHE_BYTES:
-                        long[w] = ids
-                    else:
-                        young[w] = ids
-            if long:
-                yield b"".join([long[w] if w in long else young[w] for w in words])
-            else:
-                yield b"".join(map(young.__getitem__, words))
-            if len(young) > self.cache_words:
-                self.young, self.old = {}, young
+            text = text or b""
+            low = text.lower()
+            # a special token is found in its own case only, so a text that may hold one keeps its case
+            words = (text if any(t in low for t in self.special) else low).split()
+            found = list(map(self.young.get, words))
+            if None in found:
+                found = [self._get(w) if ids is None else ids for w, ids in zip(words, found, strict=True)]
+            yield b"".join(found)
+            if len(self.young) > self.cache_words:
+                self.young, self.old = {}, self.young
 
 
 _workers: dict[str, WordTokenizer] = {}
