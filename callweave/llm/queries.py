@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import decontaminate, language, licenses, neardup, packing, quality, token_counts, warc
+from callweave.llm import decontaminate, html_text, language, licenses, neardup, packing, quality, token_counts, warc
 from callweave.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_language, op4_quality_rules, op5_simhash, op6_decontamination, op7_warc, op8_packing, op10_licenses)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language, op3_html_text, op4_quality_rules, op5_simhash, op6_decontamination, op7_warc, op8_packing, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
