@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import decontaminate, html_text, language, licenses, neardup, packing, quality, token_counts, warc
+from callweave.llm import decontaminate, html_text, language, licenses, lm, neardup, packing, quality, token_counts, warc
 from callweave.llm.common import table
 
 
@@ -40,12 +40,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_language, op3_html_text, op4_quality_rules, op5_simhash, op6_decontamination, op7_warc, op8_packing, op10_licenses)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language, op3_html_text, op4_quality_rules, op5_simhash, op6_decontamination, op7_warc, op8_packing, op9_lm_score, op10_licenses)}
 
 
 def oracle_sql() -> dict[str, str]:
