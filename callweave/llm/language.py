@@ -145,6 +145,19 @@ def identify(docs: DataFrame, profiles: Profiles, id_column: str = "doc_id", tex
     return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double")
 
 
+def keep(docs: DataFrame, profiles: Profiles, min_score: float = 0.0, text: str = "text") -> DataFrame:
+    """``docs``, all columns, without the rows that are ``und`` or score less than ``min_score``; filtered where they
+    are read, without a shuffle."""
+    held = docs.sparkSession.sparkContext.broadcast(profiles)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, text):
+            got = [held.value.predict(t) for t in b.column(text).to_pylist()]
+            yield b.filter(pa.array([lang != UND and score >= min_score for lang, score in got], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def train_fold(docs: DataFrame) -> DataFrame:
     return docs.where(crc32_mod("doc_id", 4) != 2)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from callweave.llm import decontaminate, html_text, language, licenses, lm, neardup, packing, quality, token_counts, warc
 from callweave.llm.common import table
 
@@ -48,8 +49,12 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_language, op3_html_text, op4_quality_rules, op5_simhash, op6_decontamination, op7_warc, op8_packing, op9_lm_score, op10_licenses)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language, op3_html_text, op4_quality_rules, op5_simhash, op6_decontamination, op7_warc, op8_packing, op9_lm_score, op10_licenses, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
