@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def half_up(c: Column, digits: int = 3) -> Column:
+    """``c`` rounded after scaling, so that halves go up as they do in floating point."""
+    scale = float(10**digits)
+    return F.round(c * scale) / scale
+
+
 def fan(calls: DataFrame) -> DataFrame:
     """(id, fan_in, fan_out): distinct callers and distinct resolved callees of each symbol with a call."""
     pairs = calls.where("callee_symbol_id is not null").select("caller_symbol_id", "callee_symbol_id").distinct()
@@ -107,7 +113,7 @@ def symbol_health(symbols: DataFrame, calls: DataFrame, history: DataFrame) -> D
         F.when(F.coalesce("is_volatile", F.lit(False)), "high_volatility"), F.when(F.col("fan_in") > 5, "high_fan_in"), F.when(F.col("fan_out") > 8, "high_fan_out"),
         F.when(F.col("is_dead"), "dead_code"), F.when(authors > 5, "many_authors"))), ",")
     confidence = F.when(F.col("modification_count").isNotNull(), 0.8).otherwise(0.3) + F.when(F.col("fan_in") + F.col("fan_out") > 0, 0.2).otherwise(0.0)
-    return s.select("id", F.round(stability, 3).alias("stability"), F.round(complexity, 3).alias("complexity"), F.round(health, 3).alias("health"), health_level(health).alias("level"), F.round(confidence, 3).alias("confidence"), signals.alias("signals"))
+    return s.select("id", half_up(stability).alias("stability"), half_up(complexity).alias("complexity"), half_up(health).alias("health"), health_level(health).alias("level"), half_up(confidence).alias("confidence"), signals.alias("signals"))
 
 
 def module_of(path: Column) -> Column:
@@ -167,7 +173,7 @@ def describe(symbols: DataFrame, files: DataFrame, calls: DataFrame, history: Da
     role = F.when(F.col("is_dead"), "unreachable").when(F.col("fan_in") == 0, "entry_point")
     for word, name in ROLES.items():
         role = role.when(F.col("module") == word, name)
-    return s.select("id", F.round(risk, 3).alias("risk"), level.alias("level"), role.otherwise(F.concat_ws("_", "module", "kind")).alias("role"))
+    return s.select("id", half_up(risk).alias("risk"), level.alias("level"), role.otherwise(F.concat_ws("_", "module", "kind")).alias("role"))
 
 
 def group_code(kind: Column) -> Column:

@@ -18,7 +18,8 @@ SQL: dict[str, str] = {
     "symbols": """SELECT p_partkey AS id, p_partkey % ns AS file_id, p_name AS name, concat(p_brand, '.', p_name) AS qualified_name,
         CASE p_size % 5 WHEN 0 THEN 'class' WHEN 1 THEN 'method' WHEN 4 THEN 'constant' ELSE 'function' END AS kind,
         CAST((p_partkey {div} ns) * 60 + 1 AS INT) AS line_start, CAST((p_partkey {div} ns) * 60 + p_size AS INT) AS line_end,
-        p_partkey % 4 = 0 AS is_exported, p_size = 50 AS is_test, p_size <= 2 AS is_entry_point, p_type AS signature
+        p_partkey % 4 = 0 AS is_exported, p_size = 50 AS is_test, p_size <= 2 AS is_entry_point, p_type AS signature,
+        p_size % 5 IN (1, 2, 3) AND p_size <> 50 AND p_partkey % 9 = 4 AS is_dead
         FROM part CROSS JOIN ns""",
     "steps": """SELECT l_orderkey, l_linenumber, l_partkey AS a, l_quantity,
         lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS b,
