@@ -202,6 +202,7 @@ def scores(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text: s
         schema = "doc_id long, key long, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: int>>"
         each = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, schema).persist()
         try:
+            each.count()  # else the two readers below score the texts at the same time, each for itself
             beyond = each.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times"))
             found = beyond.join(counts.where((F.col("n") < least) & (F.octet_length("word") > 0)), "word", "left")
             sums = found.groupBy("key").agg(
