@@ -85,7 +85,7 @@ class Dictionary:
         self.symbol[(n <= 1) & (np.arange(len(rows)) >= self.shortlist)] = self.tail
         logs = np.log10(n + SMOOTH)
         self.log_count = logs
-        mass = np.bincount(self.symbol, n + SMOOTH, self.shortlist + 3)
+        mass = np.bincount(self.symbol, n + SMOOTH, self.shortlist + 3).astype(np.float64)
         mass[self.tail] += max(total - n.sum(), 0) + SMOOTH * (distinct - len(rows) + 1)
         self.mass = mass
         #: What a word adds beside the network: its share of its band; nothing if it's shortlisted.

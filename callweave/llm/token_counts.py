@@ -80,11 +80,13 @@ def section_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text:
     length), for example the cumulated lengths of concatenated fields; by default each line is one."""
     chosen = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t"), (F.lit(None) if ends is None else ends).cast("array<bigint>").alias("e"))
 
+    by_line = ends is None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sizes = encoding(path)
         for b in slices(batches, "t", 8 << 20):
             parts = []
-            given = [None] * b.num_rows if ends is None else b.column("e").to_pylist()
+            given = [None] * b.num_rows if by_line else b.column("e").to_pylist()
             for raw, e in zip(utf8(b.column("t")), given, strict=True):
                 raw = raw or b""
                 ids = enc.encode_to_numpy(raw.decode(), disallowed_special=()) if raw else np.zeros(0, np.uint32)
