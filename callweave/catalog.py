@@ -711,6 +711,30 @@ def transitive_file_deps(g: Graph) -> DataFrame:
     return impact.transitive_file_deps(impact.file_links(g.calls, g.imports, g.symbols), 3, 3)
 
 
+# --- incremental -----------------------------------------------------------------------------------------------------
+
+CHANGES = ", ch AS (SELECT f.path, e.ts, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'upsert' END AS op FROM events e JOIN files f ON f.id = e.event_id % (SELECT ns FROM ns)) "
+
+
+def _changes(g: Graph) -> DataFrame:
+    e = g.spark.read.parquet(f"{g.sf_dir}/events.parquet").crossJoin(F.broadcast(g.ns))
+    e = e.select((F.col("event_id") % F.col("ns")).alias("f"), "ts", F.when(F.col("event_type") == "error", "delete").otherwise("upsert").alias("op"))
+    return e.join(g.files.select(F.col("id").alias("f"), "path"), "f").select("path", "ts", "op")
+
+
+@query(CHANGES + "SELECT path, arg_max(op, (epoch_us(ts) * 2 + (op = 'delete')::BIGINT)) AS op FROM ch GROUP BY 1")
+def watch_last_changes(g: Graph) -> DataFrame:
+    return _changes(g).groupBy("path").agg(F.max_by("op", F.struct("ts", F.col("op") == "delete")).alias("op"))
+
+
+@query(CHANGES + """, s AS (SELECT ts, CASE WHEN ts <= lag(ts) OVER (ORDER BY ts) + INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS new FROM (SELECT ts FROM ch)), k AS (SELECT ts, sum(new) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM s)
+SELECT epoch_us(min(ts))::BIGINT AS start_us, epoch_us(max(ts))::BIGINT AS last_us, count(*) AS n FROM k GROUP BY k""")
+def debounce(g: Graph) -> DataFrame:
+    """Runs of changes without a quiet gap: the batches that the watcher would take."""
+    runs = _changes(g).groupBy(F.session_window("ts", "5 minutes"), F.when(F.col("path").isNotNull(), "all").alias("tree")).agg(F.min("ts").alias("a"), F.max("ts").alias("b"), F.count("*").alias("n"))
+    return runs.select(*(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', {c})").alias(n) for c, n in (("a", "start_us"), ("b", "last_us"))), "n")
+
+
 # --- search ----------------------------------------------------------------------------------------------------------
 
 

@@ -67,6 +67,7 @@ def frontier_bfs(
     until nothing is new.
     """
     step = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).where("_s <> _d").distinct()
+    step = settle(step.repartition("_s"))  # read by every level
     kind = step.schema["_d"].dataType
     seen = settle(
         seeds.select(F.col(key).alias("key"), F.col("node").cast(kind).alias("node")).where("node is not null").distinct()
@@ -86,6 +87,8 @@ def frontier_bfs(
             break
         depth += 1
         seen = seen.union(front)
+        if depth % 10 == 0:
+            seen = settle(seen)  # a deep search would else read ever more small pieces
     return seen
 
 

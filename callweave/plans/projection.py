@@ -49,7 +49,7 @@ NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The relation as a DataFrame; its sources are read with only the columns it needs."""
-    sql = _with(name, div="div", epoch="unix_timestamp(ts)")
+    sql = _with(name, div="div", epoch="timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)")
     args = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in NAMES if f" {t}" in sql}
     for t in args:
         sql = _table(sql, t, "{" + t + "}")
