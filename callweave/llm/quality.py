@@ -95,7 +95,8 @@ def estimate(docs: DataFrame, rules: list[Rule], id_column: str = "doc_id", samp
     if not total:
         return [{"name": r.name, "seconds": 1.0, "rejected": 0} for r in rules]
     part = max(1, total // sample_rows)
-    sample = with_counts(docs.where(F.pmod(F.xxhash64(id_column), F.lit(part)) == 0).select(id_column, "text").coalesce(4)).persist()
+    # every task filters its share of the table; only the sample itself is dealt anew
+    sample = with_counts(docs.where(F.pmod(F.xxhash64(id_column), F.lit(part)) == 0).select(id_column, "text").repartition(4)).persist()
     try:
         sample.count()
 
