@@ -762,6 +762,110 @@ def fts_search(g: Graph) -> DataFrame:
     return search.fts_search(g.symbols, f"{a} {b[:3]}")
 
 
-@query(None)
+PHRASE = TOK.replace("q[2], 1, 3", "q[2], 1, 1000").replace("AND starts_with(b.token", "AND b.id = a.id AND starts_with(b.token")
+
+
+@query(PHRASE + """, q AS (SELECT name AS q FROM symbols WHERE id = 7),
+ft AS (SELECT id, round(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean)), 6)::DOUBLE AS score FROM tf JOIN ln USING (id), tot ORDER BY score DESC, id LIMIT 50),
+fz AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place, score FROM (SELECT id, round(1 - levenshtein(name, q) / greatest(strlen(name), strlen(q)), 6) AS score FROM (SELECT * FROM symbols, q WHERE name ILIKE substr(q, 1, 2) || '%' ORDER BY id LIMIT 500) ORDER BY score DESC, id LIMIT 50)),
+al AS (SELECT id, 1 AS source, -score AS s FROM ft UNION ALL SELECT id, 3, -score FROM fz WHERE place <= 50 - (SELECT count(*) FROM ft)),
+on_ AS (SELECT id, min(source) AS source, arg_min(s, source) AS s FROM al GROUP BY 1)
+SELECT s.id, s.name, round(jaro_winkler_similarity(s.name, q), 6)::DOUBLE AS score FROM on_ JOIN symbols s USING (id), q ORDER BY score DESC, source, on_.s, s.id LIMIT 50""")
 def search_symbols(g: Graph) -> DataFrame:
     return search.search(g.symbols, _some_name(g))
+
+
+@query("SELECT id, name FROM symbols WHERE name ILIKE '%an%' ORDER BY name, id LIMIT 50")
+def workspace_symbols(g: Graph) -> DataFrame:
+    return search.like_search(g.symbols, "an", 50).select("id", "name")
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT s.name AS service, s.repo_path || '/' || f.path AS absolute_path, f.path, f.language, first_value(language) OVER (PARTITION BY service_id ORDER BY n DESC, language) AS primary_language FROM files f JOIN services s ON s.id = f.service_id JOIN (SELECT service_id, language, count(*) AS n FROM files GROUP BY 1, 2) USING (service_id, language)")
+def create_structure(g: Graph) -> DataFrame:
+    first = lookups.language_rank(g.files).where("rank = 1").select("service_id", F.col("language").alias("primary_language"))
+    s = g.services.select(F.col("id").alias("service_id"), F.col("name").alias("service"), "repo_path")
+    f = g.files.join(F.broadcast(s), "service_id").join(first, "service_id")
+    return f.select("service", F.concat_ws("/", "repo_path", "path").alias("absolute_path"), "path", "language", "primary_language")
+
+
+@query(", d AS (SELECT s.id, s.file_id, row_number() OVER (PARTITION BY s.file_id ORDER BY s.id) AS k, (SELECT min(dst) FROM edges WHERE src = s.id) AS callee FROM symbols s) SELECT f.path, 's' || d.id AS name, (2 * k - 1)::INTEGER AS line_start, (2 * k)::INTEGER AS line_end, CASE WHEN callee IS NOT NULL THEN 's' || callee END AS callee FROM d JOIN files f ON f.id = d.file_id")
+def parse_files(g: Graph) -> DataFrame:
+    """Sources written from the graph, one function of two lines for each symbol, parsed again."""
+    from callweave.sources.parsers import parse_files as parse
+
+    low = g.edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("callee"))
+    body = F.concat(F.lit("def s"), F.col("id").cast("string"), F.lit("():\n    "), F.coalesce(F.concat(F.lit("return s"), F.col("callee").cast("string"), F.lit("()")), F.lit("pass")), F.lit("\n"))
+    code = g.symbols.join(low, "id", "left").groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", body.alias("b")))), lambda x: x["b"]), "").alias("content"))
+    parsed = parse(g.files.select(F.col("id").alias("file_id"), "path").join(code, "file_id").select("path", F.lit("python").alias("language"), "content"))
+    calls = parsed.select("path", F.inline("calls")).select("path", F.col("caller_name").alias("name"), F.col("callee_name").alias("callee"))
+    return parsed.select("path", F.inline("symbols")).select("path", "name", "line_start", "line_end").join(calls, ["path", "name"], "left")
+
+
+@query("SELECT '/' || replace(r_name, ' ', '_') || '/' || n_name AS path_pattern, row_number() OVER (PARTITION BY r_regionkey ORDER BY n_nationkey)::INTEGER + 1 AS line FROM nation JOIN region ON r_regionkey = n_regionkey")
+def proto_source(g: Graph) -> DataFrame:
+    from callweave.sources.schemas import schema_endpoints
+
+    n, r = (g.spark.read.parquet(f"{g.sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    rpcs = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("  rpc "), x["n_name"], F.lit(" (A) returns (B);"))), "\n").alias("b"))
+    tree = rpcs.select(F.concat("r_name", F.lit(".proto")).alias("path"), F.concat(F.lit("service "), F.replace("r_name", F.lit(" "), F.lit("_")), F.lit(" {\n"), "b", F.lit("\n}\n")).alias("content"))
+    return schema_endpoints(tree).select("path_pattern", "line")
+
+
+@query("SELECT method, path_pattern, 'op' || id AS operation_id FROM endpoints")
+def openapi_source(g: Graph) -> DataFrame:
+    from callweave.sources.schemas import schema_endpoints
+
+    item = F.map_from_arrays(F.array(F.lower("method")), F.array(F.struct(F.concat(F.lit("op"), "id").alias("operationId"))))
+    tree = g.endpoints.groupBy("service_id").agg(F.map_from_entries(F.collect_list(F.struct("path_pattern", item.alias("i")))).alias("paths"))
+    return schema_endpoints(tree.select(F.concat(F.lit("s"), "service_id", F.lit("/openapi.json")).alias("path"), F.to_json(F.struct("paths")).alias("content"))).select("method", "path_pattern", "operation_id")
+
+
+@query("SELECT doc_id, array_to_string(list_slice(string_split(text, chr(10)), 2, 3), chr(10)) AS slice FROM documents")
+def source_slice(g: Graph) -> DataFrame:
+    from callweave.sources.discover import source_slice as cut
+
+    return g.spark.read.parquet(f"{g.sf_dir}/documents.parquet").select("doc_id", cut(F.col("text"), F.lit(2), F.lit(3)).alias("slice"))
+
+
+@query("SELECT id, NOT (regexp_matches(path, '^src/[^/]*3/') OR (regexp_matches(path, '7$') AND NOT regexp_matches(path, '17$')) OR (regexp_matches(path, '7/') AND NOT regexp_matches(path, '17/'))) AS kept FROM files")
+def ignore_files(g: Graph) -> DataFrame:
+    from callweave.sources.discover import ignore_rules, ignored_column
+
+    rules = ignore_rules("", "*7\n!*17\n") + ignore_rules("src", "/*3/\n")
+    return g.files.select("id", (~ignored_column(F.col("path"), rules)).alias("kept"))
+
+
+@query("SELECT id, path || CASE id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' ELSE '.txt' END AS path, CASE id % 3 WHEN 0 THEN 'python' ELSE 'rust' END AS language FROM files WHERE id % 3 <> 2 AND NOT path GLOB 'src/*_1?/*' AND NOT contains(path, '/nation_5/')")
+def discover_files(g: Graph) -> DataFrame:
+    from callweave.sources.discover import accepted
+    from callweave.sources.parsers import language_of
+
+    f = g.files.select("id", F.concat("path", F.element_at(F.array(F.lit(".py"), F.lit(".rs"), F.lit(".txt")), (F.col("id") % 3 + 1).cast("int"))).alias("path"))
+    return f.where(accepted(F.col("path"), ["src/*_1?/*", "nation_5"])).withColumn("language", language_of(F.col("path")))
+
+
+@query("SELECT id, id AS file_id FROM files")
+def resolve_module_path(g: Graph) -> DataFrame:
+    """Every file found again from a neighbour by a relative import, as an index file, with an extension or as it is."""
+    kinds = F.array(F.lit(""), F.lit(".tsx"), F.lit("/index.js"))
+    files = g.files.select("id", F.concat("path", F.element_at(kinds, (F.col("id") % 3 + 1).cast("int"))).alias("path"))
+    asks = g.files.select("id", F.concat(F.lit("./../x/../"), F.substring_index("path", "/", -2)).alias("module"), F.lit("src/here/a.ts").alias("importer"))
+    return resolution.first_existing(asks, files, resolution.module_candidates(F.col("module"), F.col("importer"), []))
+
+
+@query("SELECT id, id AS file_id FROM files")
+def resolve_rust_module(g: Graph) -> DataFrame:
+    """Every file found again from a path through the crate that goes on to a symbol."""
+    kinds = F.array(F.lit(".rs"), F.lit("/mod.rs"))
+    files = g.files.select("id", F.concat("path", F.element_at(kinds, (F.col("id") % 2 + 1).cast("int"))).alias("path"))
+    asks = g.files.select("id", F.concat(F.lit("crate::"), F.regexp_replace(F.substring_index("path", "/", -2), "/", "::"), F.lit("::Thing::*")).alias("module"), F.lit("src/x/y.rs").alias("importer"))
+    return resolution.first_existing(asks, files, resolution.rust_candidates(F.col("module"), F.col("importer")))
+
+
+@query("SELECT s.id, is_entry_point OR name IN ('main', 'Main', 'run', 'start', 'init', 'constructor', '<module>') OR name ILIKE '%_handler' OR name ILIKE 'handle_%' OR name ILIKE '%Handler' OR (is_exported AND f.id % 4 = 1) OR (kind = 'method' AND lower(split_part(qualified_name, '.', 1)) IN (SELECT lower(name) FROM symbols WHERE kind = 'class')) AS is_entry_point FROM symbols s JOIN files f ON f.id = s.file_id")
+def framework_entry_points(g: Graph) -> DataFrame:
+    f = g.files.withColumn("path", F.when(F.col("id") % 4 == 1, F.concat(F.substring_index("path", "/", 2), F.lit("/page.tsx"))).otherwise(F.col("path")))
+    return derive.with_entry_points(g.symbols, f, ["nextjs"]).select("id", "is_entry_point")
