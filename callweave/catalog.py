@@ -787,7 +787,7 @@ def workspace_symbols(g: Graph) -> DataFrame:
 def create_structure(g: Graph) -> DataFrame:
     first = lookups.language_rank(g.files).where("rank = 1").select("service_id", F.col("language").alias("primary_language"))
     s = g.services.select(F.col("id").alias("service_id"), F.col("name").alias("service"), "repo_path")
-    f = g.files.join(F.broadcast(s), "service_id").join(first, "service_id")
+    f = g.files.join(s, "service_id").join(first, "service_id")
     return f.select("service", F.concat_ws("/", "repo_path", "path").alias("absolute_path"), "path", "language", "primary_language")
 
 

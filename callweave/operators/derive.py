@@ -119,7 +119,7 @@ def service_topology(api: DataFrame) -> DataFrame:
 def mermaid_topology(edges: DataFrame, services: DataFrame) -> DataFrame:
     a, b = services.select(F.col("id").alias("from_service_id"), F.col("name").alias("a")), services.select(F.col("id").alias("to_service_id"), F.col("name").alias("b"))
     text = F.concat(F.lit("    "), "a", F.lit(" -->|"), "protocol", F.lit(" x"), F.col("call_count").cast("string"), F.lit("| "), "b")
-    return edges.join(F.broadcast(a), "from_service_id").join(F.broadcast(b), "to_service_id").select(text.alias("line"))
+    return edges.join(a, "from_service_id").join(b, "to_service_id").select(text.alias("line"))
 
 
 def check_rules(imports: DataFrame, files: DataFrame, rules: list[dict]) -> DataFrame:

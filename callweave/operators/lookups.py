@@ -48,7 +48,7 @@ def resolve_symbol_by_name(symbols: DataFrame, files: DataFrame, wanted: str, fi
 
 def file_symbols(symbols: DataFrame, files: DataFrame, wanted: str) -> DataFrame:
     f = files.where(path_matches(F.col("path"), wanted)).select(F.col("id").alias("file_id"))
-    return symbols.join(F.broadcast(f.limit(1000)), "file_id", "left_semi").orderBy("line_start", "id")
+    return symbols.join(f, "file_id", "left_semi").orderBy("line_start", "id")
 
 
 def find_file_by_path(files: DataFrame, wanted: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from callweave.functions.builtins import NAMES, PREFIXES
 from callweave.functions.text import like_ci, normalized_path
+from callweave.plans.checkpoints import broadcast_if_small
 
 #: What is tried after a module path, in order.
 SUFFIXES = ["", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
@@ -161,7 +162,7 @@ def resolve_api_calls(api_calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(id, endpoint_id, endpoint_service_id): the smallest endpoint of the same method whose path the url contains,
     in the way of LIKE: case-insensitive, with the path's own wildcards. Endpoints are few; the method is the key."""
     e = endpoints.select(F.col("id").alias("endpoint_id"), F.col("service_id").alias("endpoint_service_id"), "method", "path_pattern")
-    hit = api_calls.select("id", "method", "url_pattern").join(e, "method").where(like_ci(F.col("url_pattern"), F.concat(F.lit("%"), F.col("path_pattern"), F.lit("%"))))
+    hit = api_calls.select("id", "method", "url_pattern").join(broadcast_if_small(e), "method").where(like_ci(F.col("url_pattern"), F.concat(F.lit("%"), F.col("path_pattern"), F.lit("%"))))
     best = hit.groupBy("id").agg(F.min(F.struct("endpoint_id", "endpoint_service_id")).alias("b"))
     return api_calls.select("id").join(best.select("id", "b.*"), "id", "left")
 
@@ -170,7 +171,7 @@ def boost_schema_matches(api_calls: DataFrame, endpoints: DataFrame) -> DataFram
     """(id, endpoint_id): the first endpoint from a schema whose method (any case), protocol and path fit the url."""
     e = endpoints.select(F.col("id").alias("endpoint_id"), F.upper("method").alias("m"), "path_pattern", F.col("protocol").alias("ep"))
     fixed = F.array_join(F.filter(F.split("path_pattern", "/"), lambda x: ~x.startswith("{")), "/")
-    hit = api_calls.select("id", F.upper("method").alias("m"), "url_pattern", "protocol").join(e, "m").where((F.col("protocol") == F.col("ep")) | (F.col("ep") == "http"))
+    hit = api_calls.select("id", F.upper("method").alias("m"), "url_pattern", "protocol").join(broadcast_if_small(e), "m").where((F.col("protocol") == F.col("ep")) | (F.col("ep") == "http"))
     hit = hit.where(F.col("url_pattern").contains(F.col("path_pattern")) | ((fixed != "") & (fixed != "/") & F.lower("url_pattern").contains(F.lower(fixed))))
     return api_calls.select("id").join(hit.groupBy("id").agg(F.min("endpoint_id").alias("endpoint_id")), "id", "left")
 
@@ -181,26 +182,28 @@ def find_handlers(endpoints: DataFrame, symbols: DataFrame) -> DataFrame:
     s = symbols.select(F.col("id").alias("sid"), F.lower("name").alias("lname"), "name", "qualified_name", "kind")
     low = s.groupBy("lname").agg(F.min("sid").alias("_by_name"))
     e = endpoints.select("id", "method", "path_pattern", "operation_id")
-    op = e.where("operation_id is not null").join(s, (F.col("name") == F.col("operation_id")) | F.lower("qualified_name").endswith(F.lower("operation_id"))).groupBy("id").agg(F.min("sid").alias("_op"))
+    op = broadcast_if_small(e.where("operation_id is not null")).join(s, (F.col("name") == F.col("operation_id")) | F.lower("qualified_name").endswith(F.lower("operation_id"))).groupBy("id").agg(F.min("sid").alias("_op"))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("path_pattern", "^/+", ""), "/", "_"), "[{}]", "")
     named = e.select("id", F.lower(F.concat_ws("_", "method", clean)).alias("lname")).join(low, "lname").select("id", "_by_name")
     last = F.regexp_replace(F.element_at(F.split(F.regexp_replace("path_pattern", "/+$", ""), "/"), -1), "[{}]", "")
     part = e.select("id", F.concat(F.lit("%"), F.lower("method"), F.lit("%"), F.lower(last), F.lit("%")).alias("p"), last.alias("last")).where("last <> ''")
-    part = part.join(s.where(F.col("kind").isin("function", "method")), F.call_function("like", F.col("lname"), F.col("p"))).groupBy("id").agg(F.min("sid").alias("_part"))
+    part = broadcast_if_small(part).join(s.where(F.col("kind").isin("function", "method")), F.call_function("like", F.col("lname"), F.col("p"))).groupBy("id").agg(F.min("sid").alias("_part"))
     return endpoints.select("id").join(op, "id", "left").join(named, "id", "left").join(part, "id", "left").select("id", F.coalesce("_op", "_by_name", "_part").alias("handler_symbol_id"))
 
 
 def resolve_paths(paths: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
     """(id): symbols of files that equal or end in one of ``paths`` (path)."""
-    p = paths.select(F.col("path").alias("wanted")).distinct()
-    f = files.join(F.broadcast(p.limit(10_000)), (F.col("path") == F.col("wanted")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("wanted"))), "left_semi")
-    return symbols.join(f.select(F.col("id").alias("file_id")), "file_id", "left_semi").select("id")
+    parts = F.split("path", "/")  # all tails of a path that begin at a name, so that the join is on equal paths
+    tails = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    f = files.select(F.col("id").alias("file_id"), F.explode(F.array_union(tails, F.array("path"))).alias("path"))
+    f = f.join(paths.select("path").distinct(), "path", "left_semi").select("file_id").distinct()
+    return symbols.join(f, "file_id", "left_semi").select("id")
 
 
 def resolve_service_for_path(paths: DataFrame, services: DataFrame, previous: DataFrame | None = None) -> DataFrame:
     """(path, service_id): the service that had the path before, else that of the longest prefix, else the smallest."""
     s = services.select(F.col("id").alias("sid"), "repo_path")
-    hit = paths.join(s, F.col("path").startswith(F.col("repo_path"))).groupBy("path").agg(F.max(F.struct(F.length("repo_path").alias("n"), (-F.col("sid")).alias("k"))).alias("m"))
+    hit = paths.join(broadcast_if_small(s), F.col("path").startswith(F.col("repo_path"))).groupBy("path").agg(F.max(F.struct(F.length("repo_path").alias("n"), (-F.col("sid")).alias("k"))).alias("m"))
     first = services.agg(F.min("id").alias("_first"))  # one row
     out = paths.join(hit.select("path", (-F.col("m.k")).alias("_hit")), "path", "left").crossJoin(F.broadcast(first))
     old = F.lit(None).cast("long")

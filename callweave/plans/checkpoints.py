@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,3 +23,8 @@ def settle(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder; its plan starts there."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is; at most ``rows`` + 1 are counted."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
