@@ -257,7 +257,9 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     edges = settle(links(distinct.select("fp"), distinct.count(), distance, group))
     comp = settle(connected_components(edges))
     named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    low = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    # settled, so that the join below has exchanges of its own on both sides, which a large component can be split in
+    named = settle(named)
+    low = settle(named.groupBy("component").agg(F.min("low").alias("component_id")))
     known = settle(named.join(low, "component").select("fp", "component_id"))
     return each.join(known, "fp").select("doc_id", "fp", "component_id")
 
