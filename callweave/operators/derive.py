@@ -15,7 +15,12 @@ ENTRY_PATTERNS = ["%_handler", "handle_%", "%Handler"]
 FRAMEWORKS = {
     "nextjs": {
         "names": "GET POST PUT DELETE PATCH HEAD OPTIONS generateMetadata generateStaticParams getServerSideProps getStaticProps getStaticPaths middleware".split(),
-        "files": [f"/{stem}.{ext}" for stem in "page layout loading error not-found template default route global-error".split() for ext in ("tsx", "ts", "jsx", "js")],
+        "files": """
+/page.tsx /page.ts /page.jsx /page.js /layout.tsx /layout.ts /layout.jsx /layout.js /loading.tsx /loading.ts /loading.jsx /loading.js /error.tsx
+/error.ts /error.jsx /error.js /not-found.tsx /not-found.ts /not-found.jsx /not-found.js /template.tsx /template.ts /template.jsx /template.js
+/default.tsx /default.ts /default.jsx /default.js /route.tsx /route.ts /route.jsx /route.js /global-error.tsx /global-error.ts /global-error.jsx
+/global-error.js
+""".split(),
         "patterns": [],
     },
     "nuxt": {"names": "defineNuxtConfig defineNuxtPlugin defineNuxtRouteMiddleware defineEventHandler defineNitroPlugin".split(), "files": [], "patterns": []},
