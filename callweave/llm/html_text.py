@@ -2,7 +2,7 @@
 
 A page is cut into blocks of text at block elements. The first pass decides what it can: a block in an element that
 says what it is (navigation, footer, advert, form, comments ...) or with too many characters in links is boilerplate;
-a long block with many stop words is text, and so is any block of some length in an article. The second pass gives
+a long block with many stop words is text, and so is any block of some length in an article (an ``article`` or ``main`` element, or a container named so). The second pass gives
 each undecided block (too short, or with a middling share of stop words) the label of its nearest decided neighbours
 in the same region: theirs if they agree, else the nearer one's, else its own leaning. On a
 page without any text by these rules, the undecided blocks are the text. Regions are the articles (or
@@ -52,6 +52,9 @@ MARKS = re.compile(
     r"sign-?up|log-?in|search|forms?|widgets?|toolbar|skip-?link|disclaimer|copyright|legal)(?:[^a-z]|$)",
     re.I,
 )
+#: Classes and ids of an article's container, and of what an ``article`` element may be instead.
+CONTENT = re.compile(r"(?:^|\s)(?:(?:main|article|post|entry|story|page)[-_]?(?:content|body|text)|content|article|story)(?:\s|$)", re.I)
+OTHER = re.compile(r"(?:^|\s)(?:comment[\w-]*|reply|ads?|advert\w*|promo\w*|sponsor\w*|related[\w-]*|teaser|widget|sidebar)(?:\s|$)", re.I)
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
@@ -63,33 +66,39 @@ _edge = re.compile(r"^\W+|[\W_]+$")
 class Block:
     text: str
     links: int
-    frame: bool
+    frame: str
     region: int
     heading: bool
 
 
-def _is_frame(name: str, attributes: str, in_article: bool) -> bool:
+def _attributes(attributes: str) -> dict[str, str]:
+    return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attributes)} if "=" in attributes else {}
+
+
+def _frame_of(name: str, attributes: str, found: dict[str, str], in_article: bool) -> str:
+    """Why an element is frame: ``element`` or ``mark`` (its class or id), or "" if it isn't."""
     if name in FRAME or (name == "header" and not in_article):
-        return True
-    if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
-    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _attribute.finditer(attributes)}
-    if found.get("aria-hidden") == "true" or re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _attribute.sub(" ", attributes)):
-        return True
+        return "element"
+    if found.get("aria-hidden") == "true" or "hidden" in attributes and re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", _attribute.sub(" ", attributes)):
+        return "element"
+    if not found:
+        return ""
     if found.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
-    if name in ("article", "main", "body", "html"):
-        return False
+        return "element"
     named = f"{found.get('class', '')} {found.get('id', '')}"
+    if name in ("body", "html"):
+        return ""
+    if name in ("article", "main"):
+        return "mark" if OTHER.search(named) else ""
     if name == "header" or name in HEADINGS:  # an article's own head may be called so
         named = re.sub(r"(?i)header", "", named)
-    return bool(MARKS.search(named))
+    return "mark" if MARKS.search(named) else ""
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, int]] = []  # name, whether it is frame, region
+    stack: list[tuple[str, str, int]] = []  # name, why it is frame, region
     regions, parts, linked, in_link, at, pos = 0, [], 0, 0, 0, 0
     heading = False
 
@@ -106,7 +115,7 @@ def blocks(page: str) -> list[Block]:
         if parts:
             whole = " ".join("".join(parts).split())
             if whole:
-                _, frame, region = stack[-1] if stack else ("", False, 0)
+                _, frame, region = stack[-1] if stack else ("", "", 0)
                 out.append(Block(whole, linked, frame, region, heading))
             parts, linked = [], 0
 
@@ -156,11 +165,17 @@ def blocks(page: str) -> list[Block]:
                 if stack[k][0] in BLOCKS:
                     break
             heading = name in HEADINGS
-        _, frame, region = stack[-1] if stack else ("", False, 0)
-        if name in ("article", "main") and not frame and not region:
+        _, frame, region = stack[-1] if stack else ("", "", 0)
+        found = _attributes(attributes)
+        own = _frame_of(name, attributes, found, bool(region))
+        article = name in ("article", "main") or found.get("role") == "main" or found.get("itemprop") == "articleBody"
+        if article and frame == "mark" and not own and not regions:
+            frame = ""  # a wrapper named after what stands beside the article
+        frame = frame or own
+        if not frame and not region and (article or name in ("div", "section") and CONTENT.search(f"{found.get('class', '')} {found.get('id', '')}")):
             regions += 1
             region = regions
-        stack.append((name, frame or _is_frame(name, attributes, bool(region)), region))
+        stack.append((name, frame, region))
     text(page[at:])
     flush()
     return out

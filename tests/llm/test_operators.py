@@ -111,6 +111,13 @@ def test_html_text():
     assert html_text.main_text(f"<div>{long}</div><div>Yes.</div><div>{long}</div><div class=ads>{long}</div>") == f"{long.strip()}\nYes.\n{long.strip()}"
 
 
+def test_html_wrappers():
+    p = "The story of the day is that it was as good as it can be for all of them. " * 3
+    page = f"<div class='layout has-sidebar'><div class=sidebar><p>{p}</p></div><article class=post><p>Hi.</p><p>{p}</p></article><section class=replies><article class=comment><p>{p}</p></article></section></div>"
+    assert html_text.main_text(page) == f"Hi.\n{p.strip()}"
+    assert html_text.main_text(f"<div id=content><p>Hi.</p><p>Xyzzy plugh.</p></div><div>{p}</div><p hidden>{p}</p><p class='cookie-banner'>{p}</p>").startswith("Hi.\nXyzzy plugh.")
+
+
 def test_html_text_on_pages(spark):
     import re
     from html import unescape
