@@ -126,6 +126,7 @@ def trained(docs: DataFrame, words: Dictionary, count: int, id_column: str = "do
     tasks = max(1, min(TASKS, count // part // TRAIN_LEAST))
     sample = sample.select(F.pmod(F.xxhash64(F.lit("round"), id_column), F.lit(ROUNDS)).alias("r"), F.col(id_column).alias("i"), F.col(text).alias("t"))
     sample = settle(sample.repartition(tasks, "i").sortWithinPartitions("i"))
+    copies = sample.rdd.getNumPartitions()
     held, weights = sc.broadcast(words), None
     for k in range(ROUNDS):
         at = sc.broadcast(weights)
@@ -149,7 +150,7 @@ def trained(docs: DataFrame, words: Dictionary, count: int, id_column: str = "do
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()])], ["n", "w"])
 
         # the copies are averaged in two steps: neither a task nor the driver holds more than about the root of their number
-        got = sample.where(F.col("r") == k).mapInArrow(run, "n long, w binary").repartition(isqrt(tasks) + 1).mapInArrow(mean, "n long, w binary").collect()
+        got = sample.where(F.col("r") == k).mapInArrow(run, "n long, w binary").repartition(isqrt(copies) + 1).mapInArrow(mean, "n long, w binary").collect()
         if got:
             weights = (sum(np.frombuffer(g.w, np.float32).astype(np.float64) * g.n for g in got) / sum(g.n for g in got)).astype(np.float32)
     return weights
