@@ -28,7 +28,7 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     return column.cast(kind).to_pylist()
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """The batches, cut so that ``column`` holds about ``max_bytes`` in each: long texts bound the memory, not rows."""
     for batch in batches:
         size = batch.column(column).nbytes
