@@ -84,7 +84,9 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     while True:
         n = -1
         while n != (n := left.count()) and n:
-            left = settle(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+            for _ in range(2):  # two layers a round
+                left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+            left = settle(left)
         if not n:
             break
         colour = settle(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("c", F.col("node")))

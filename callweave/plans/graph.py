@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from callweave.plans.checkpoints import settle
 
 
+#: Rows of a frontier that are broadcast at most.
+FRONTIER = 50_000
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected ``edges``.
 
@@ -73,17 +77,20 @@ def frontier_bfs(
         seeds.select(F.col(key).alias("key"), F.col("node").cast(kind).alias("node")).where("node is not null").distinct()
         .select("key", "node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"))
     )
-    depth, front = 0, seen
-    while max_depth is None or depth < max_depth:
+    depth, front, size = 0, seen, seen.count()
+    while size and (max_depth is None or depth < max_depth):
+        # a frontier that is counted small goes to the edges, which then stay where they are
+        near = F.broadcast(front) if size <= FRONTIER else front
         new = (
-            front.join(step, front.node == step._s)
+            near.join(step, near.node == step._s)
             .groupBy("key", F.col("_d").alias("node"))
             .agg(F.min("_s").alias("parent"))
             .join(seen.select("key", "node"), ["key", "node"], "left_anti")
             .select("key", "node", F.lit(depth + 1).alias("depth"), "parent")
         )
         front = settle(new)
-        if front.isEmpty():
+        size = front.count()
+        if not size:
             break
         depth += 1
         seen = seen.union(front)
