@@ -58,7 +58,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": OP4}
+    return {"op4_quality_rules": OP4, "op7_warc": OP7}
 
 
 _STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
@@ -79,3 +79,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR digits * 5 > word_chars OR len(list_distinct(w)) * 10 < n_words OR NOT list_has_any(w, [{_STOP}])) AS kept
 FROM b
 """
+
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((((strpos('0123456789abcdef', substr(h, (5 * i // 4 + 1)::INT, 1)) - 1) * 16 + greatest(strpos('0123456789abcdef', substr(h || '0', (5 * i // 4 + 2)::INT, 1)) - 1, 0)) >> (3 - 5 * i % 4)::INT) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < top THEN top END AS refers_to, true AS intact
+FROM d
+"""
