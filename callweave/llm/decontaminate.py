@@ -163,7 +163,8 @@ def blocks(benchmark: DataFrame, seed: int, threshold: float, block_bytes: int =
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = total // block_bytes + 1
     for k in range(n):
-        yield Items(sorted(map(tuple, rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect())), seed, threshold)
+        part = rows.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()
+        yield Items(sorted(map(tuple, part), key=lambda r: (r[0] is None, r[0] or 0, r[1])), seed, threshold)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text: str = "text", seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:

@@ -13,7 +13,7 @@
 6. ``components`` of these edges, then one join back to the documents.
 
 Edge cases: null, empty and blank texts have fingerprint zero and link like any other; a text of one or two words is
-one shingle; repeated rows give repeated rows; an empty table gives an empty result; further columns are not read.
+one shingle; repeated rows give repeated rows; a null id is never the smallest of a component; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -271,6 +271,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents with the smallest id of their component, all rows of it."""
-    kept = near_duplicates(docs, id_column).where("doc_id = component_id").select(F.col("doc_id").alias(id_column)).distinct()
-    return docs.join(kept, id_column, "left_semi")
+    """The documents with the smallest id of their component, all rows of it, and those without an id, which can't be
+    told apart."""
+    kept = near_duplicates(docs, id_column).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs[id_column].eqNullSafe(kept["_kept"]), "left_semi")

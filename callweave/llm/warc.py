@@ -13,7 +13,7 @@ Files are written by executors into a folder that all share, under names that ho
 successful tasks report are read, so a lost or repeated task leaves nothing but an unread file.
 
 Edge cases: a null html is an empty payload; control characters in a url are percent-encoded, a null url is left out;
-pages that repeat id and payload are all responses; an empty table gives no file and an empty result; further columns
+pages that repeat id and payload are all responses, as is a page without an id; an empty table gives no file and an empty result; further columns
 are not read. A record that fails its checks keeps its row with ``intact`` false.
 """
 
@@ -124,8 +124,9 @@ def parsed(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def _page(uri: str) -> int:
-    return int(uri.strip("<>").removeprefix(TAG).split("/")[0])
+def _page(uri: str) -> int | None:
+    page = uri.strip("<>").removeprefix(TAG).split("/")[0]
+    return None if page == "None" else int(page)
 
 
 def decoded(block: bytes) -> bytes:

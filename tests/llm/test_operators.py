@@ -438,3 +438,16 @@ def test_pipeline_stages_on_odd_rows(spark):
     for name, stage in c.STAGES[:-1]:
         got = stage(spark, odd, "/root/testdata/sf0.001")
         assert got.columns == odd.columns and got.count() <= len(ODD), name
+
+
+def test_null_ids(spark):
+    rows = [(None, "released under the MIT License. " + "w%d " * 60 % tuple(range(60))), (None, None), (5, "w%d " * 60 % tuple(range(60)))]
+    docs = frame(spark, rows)
+    bench = spark.createDataFrame([(None, "w%d " * 20 % tuple(range(20))), (1, "w%d " * 20 % tuple(range(20)))], "item_id long, text string")
+    assert token_counts.digest(docs).count() >= 3 and len(language.digest(docs).collect()) == 3 and quality.digest(docs).count() == 3
+    assert neardup.digest(docs).count() == 3 and neardup.keep_one(docs).count() == 3
+    assert decontaminate.matches(docs, bench).count() == 4 and licenses.digest(docs).count() == 1
+    assert packing.digest(docs).count() == 3 and lm.digest(docs).count() == 3
+    pages = spark.createDataFrame([(None, None, None), (None, "u", "x"), (3, "u", "x")], "page_id long, url string, html string")
+    assert sorted((r.page_id is None, r.record_type, r.intact) for r in warc.digest(pages).collect()) == [(False, "response", True), (True, "response", True), (True, "response", True)]
+    assert html_text.digest(pages).count() == 3
