@@ -17,7 +17,7 @@ rows give repeated rows; an empty table gives an empty result; further columns a
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +56,21 @@ def line_ends(raw: bytes) -> np.ndarray:
     return np.cumsum((b & 0xC0) != 0x80)[ends - 1]
 
 
+def sentence_ends(raw: bytes) -> np.ndarray:
+    """Ends, in characters, of the sentences of a text: after white space that follows ``.``, ``!`` or ``?`` or holds a
+    line break. The white space belongs to the sentence that it ends, so a token that begins with it crosses over."""
+    if not raw:
+        return np.zeros(1, np.int64)
+    b = np.frombuffer(raw, np.uint8)
+    solid = np.flatnonzero(~((b == 32) | ((b >= 9) & (b <= 13))))
+    p, q = solid[:-1], solid[1:]
+    wide = np.flatnonzero(q > p + 1)
+    p, q = p[wide], q[wide]
+    breaks = np.cumsum(b == 10)
+    at = q[np.isin(b[p], (33, 46, 63)) | (breaks[q] > breaks[p])]
+    return np.cumsum((b & 0xC0) != 0x80)[np.append(at, len(b)) - 1]
+
+
 def attribute(raw: bytes, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(tokens, tokens that cross a boundary) allotted to each section; ``ends`` are the sections' ends in characters."""
     own, crossing = np.zeros(len(ends), np.int64), np.zeros(len(ends), np.int64)
@@ -67,30 +82,37 @@ def attribute(raw: bytes, ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray)
     a, b = np.searchsorted(ends, start, "right"), np.searchsorted(ends, last, "right")
     top = len(ends) - 1  # characters beyond the last end count to the last section
     a, b = np.minimum(a, top), np.minimum(b, top)
-    for t in np.flatnonzero(a < b).tolist():
+    two = np.flatnonzero(b == a + 1)  # over one boundary: to the second part only if it's the larger
+    later = last[two] + 1 - ends[a[two]] > ends[a[two]] - start[two]
+    many = np.flatnonzero(b > a + 1)
+    a = a.copy()
+    a[two] += later
+    crossing += np.bincount(a[two], minlength=len(ends))
+    for t in many.tolist():
         edges = np.clip(np.concatenate(([start[t]], ends[a[t] : b[t]], [last[t] + 1])), start[t], last[t] + 1)
         a[t] += int(np.argmax(np.diff(edges)))
         crossing[a[t]] += 1
     return np.bincount(a, minlength=len(ends)), crossing
 
 
-def section_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", ends: Column | None = None) -> DataFrame:
+def section_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text: str = "text", ends: Column | None = None, split: Callable[[bytes], np.ndarray] = line_ends) -> DataFrame:
     """One row for each section: doc_id, section (from 0), char_start, char_end, n_tokens, n_crossing (of them, those
     that cross a boundary) and doc_tokens. Sections end at ``ends`` (ascending character offsets, the last the text's
-    length), for example the cumulated lengths of concatenated fields; by default each line is one."""
+    length), for example the cumulated lengths of concatenated fields, or where ``split`` cuts a text: by default each
+    line is one."""
     chosen = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t"), (F.lit(None) if ends is None else ends).cast("array<bigint>").alias("e"))
 
-    by_line = ends is None
+    by_text = ends is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, sizes = encoding(path)
         for b in slices(batches, "t", 8 << 20):
             parts = []
-            given = [None] * b.num_rows if by_line else b.column("e").to_pylist()
+            given = [None] * b.num_rows if by_text else b.column("e").to_pylist()
             for raw, e in zip(utf8(b.column("t")), given, strict=True):
                 raw = raw or b""
                 ids = enc.encode_to_numpy(raw.decode(), disallowed_special=()) if raw else np.zeros(0, np.uint32)
-                e = np.array(e, np.int64) if e else line_ends(raw)
+                e = np.array(e, np.int64) if e else split(raw)
                 own, crossing = attribute(raw, ids, sizes, e)
                 parts.append((e, own, crossing, len(ids)))
             n = np.array([len(p[0]) for p in parts], np.int64)
@@ -116,4 +138,5 @@ def default_path() -> str:
 
 
 def digest(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return section_counts(docs, path or default_path())
+    """The counts of every sentence of every document."""
+    return section_counts(docs, path or default_path(), split=sentence_ends)

@@ -23,30 +23,39 @@ def texts(spark, sf=SF):
     return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
 
 
-def test_token_counts_match_offsets(spark):
+@pytest.mark.parametrize("kind", ["line_ends", "sentence_ends"])
+def test_token_counts_match_offsets(spark, kind):
+    import re
+
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tok.encode_special_tokens = True
-    rows = [(r.doc_id, r.text) for r in texts(spark).limit(40).collect()] + [(900, "ab\n\n\ncd  \n é中\n"), (901, ""), (902, None), (903, "no newline")]
+    rows = [(r.doc_id, r.text) for r in texts(spark).limit(40).collect()] + [(900, "ab\n\n\ncd  \n é中\n"), (901, ""), (902, None), (903, "no newline"), (904, " A. B?! C\n\nD.  E.\n"), (905, " \n ")]
     got = {}
-    for r in token_counts.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+    split = getattr(token_counts, kind)
+    for r in token_counts.section_counts(spark.createDataFrame(rows, "doc_id long, text string"), token_counts.default_path(), split=split).collect():
         got.setdefault(r.doc_id, []).append(r)
+    crossed = 0
     for i, t in rows:
         t = t or ""
-        lines = [x + "\n" for x in t.split("\n")]
-        lines[-1] = lines[-1][:-1]
-        lines = lines[:-1] if len(lines) > 1 and not lines[-1] else lines
-        ends = np.cumsum([len(x) for x in lines])
-        want = [0] * len(lines)
+        cut = r"(?<=\n)(?!$)" if kind == "line_ends" else r"(?:(?<=[.!?])[ \t-\r]+|[ \t\x0b-\r]*\n[ \t-\r]*)(?=[^ \t-\r])"
+        if kind == "line_ends":
+            ends = [m.start() for m in re.finditer(r"(?<=\n)(?!\Z)", t)] + [len(t)]
+        else:
+            ends = [m.end() for m in re.finditer(cut, t) if re.search(r"[^ \t-\r]", t[: m.start() + 1])] + [len(t)]
+        starts, want = [0, *ends[:-1]], [0] * len(ends)
         e = tok.encode(t, add_special_tokens=False)
         for a, b in e.offsets:
-            want[max(range(len(lines)), key=lambda k: (min(b, ends[k]) - max(a, ends[k] - len(lines[k])), -k))] += 1
+            parts = [min(b, y) - max(a, x) for x, y in zip(starts, ends)]
+            crossed += sum(x > 0 for x in parts) > 1
+            want[max(range(len(ends)), key=lambda k: (parts[k], -k))] += 1
         mine = sorted(got[i], key=lambda r: r.section)
-        assert [r.n_tokens for r in mine] == want
-        assert [r.char_end for r in mine] == ends.tolist()
+        assert [r.char_end for r in mine] == ends, t
+        assert [r.n_tokens for r in mine] == want, t
         assert {r.doc_tokens for r in mine} == {len(e.ids)}
+    assert crossed > (kind == "sentence_ends") * 100
 
 
 def test_token_that_crosses_goes_to_the_larger_part():
