@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,10 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        found = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="callweave-")
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if found is None:
+            found = tempfile.mkdtemp(prefix="callweave-")
+            atexit.register(shutil.rmtree, found, ignore_errors=True)
         sc.setCheckpointDir(found)
         found = sc.getCheckpointDir()
     return found
