@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from callweave.plans.checkpoints import settle, shared_dir
 
-__all__ = ["crc32_mod", "settle", "shared_dir", "slices", "table", "utf8"]
+__all__ = ["crc32_mod", "map_arrow", "settle", "small_batches", "shared_dir", "slices", "table", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,18 @@ def crc32_mod(id_column: str, n: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % n
 
 
+def small_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Sets the session's Arrow batches to about ``size`` from here on. A batch is held on both sides several times over,
+    and with long texts the default of 64 MB fills what an executor has beside its heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, size: str = "4m") -> DataFrame:
+    """``df.mapInArrow`` with small batches."""
+    small_batches(df.sparkSession, size)
+    return df.mapInArrow(f, schema)
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string or binary Arrow column as bytes objects, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()

@@ -24,10 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from callweave.llm.common import slices
+from callweave.llm.common import map_arrow, slices, small_batches
 
 SEED, THRESHOLD, BLOCK_BYTES = 5, 0.5, 8 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -187,21 +190,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", te
                     ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"],
                 )
 
-        got = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(
-            run, "doc_id long, item_id long, coverage double, n_tiles long, longest_tile long"
+        got = map_arrow(
+            docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")), run, "doc_id long, item_id long, coverage double, n_tiles long, longest_tile long"
         )
         out = got if out is None else out.union(got)
     return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", seed: int = SEED, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` without the rows that hold an item; filtered where they are read, without a shuffle."""
+    """``docs`` without the rows that hold an item; filtered where they are read, without a shuffle, and only the text
+    goes to Python."""
+    small_batches(docs.sparkSession)
     for items in blocks(benchmark, seed, threshold):
-        held = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.where(_free_of(docs.sparkSession.sparkContext.broadcast(items))(F.col(text)))
+    return docs
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches, text, 4 << 20):
-                yield b.filter(pa.array([not held.value.matches(t) for t in b.column(text).to_pylist()], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+def _free_of(held: Broadcast):
+    @arrow_udf(T.BooleanType())
+    def free(texts: pa.Array) -> pa.Array:
+        return pa.array([not held.value.matches(t) for t in texts.to_pylist()], pa.bool_())
+
+    return free

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import slices
+from callweave.llm.common import map_arrow, slices
 
 #: Thresholds: characters of a short and of a long block, shares of stop words, share of characters in links.
 SHORT, LONG, STOP_LOW, STOP_HIGH, LINKS = 70, 200, 0.2, 0.3, 0.35
@@ -254,7 +254,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", html: str = "html", ca
             )
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{kept}, text string, n_chars long")
+    return map_arrow(chosen, run, f"{kept}, text string, n_chars long")
 
 
 def digest(pages: DataFrame) -> DataFrame:

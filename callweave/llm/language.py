@@ -22,8 +22,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from callweave.llm.common import crc32_mod, slices
+from callweave.llm.common import crc32_mod, map_arrow, slices, small_batches
 
 UND = "und"
 #: Labelled documents of each language in the sample (its expected size), n-grams in a profile, languages at most.
@@ -115,7 +117,7 @@ def fit(labelled: DataFrame, id_column: str = "doc_id", sample_docs: int = SAMPL
                 n = np.bincount(inverse, np.concatenate([k for _, k in found]), len(codes)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes), pa.array(n)], ["lang", "code", "n"])
 
-    grams = sample.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    grams = map_arrow(sample, count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     rows = (
         grams.withColumn("r", F.expr("row_number() over (partition by lang order by n desc, code)")).where(F.col("r") <= size)
         .select("lang", "code", "r").collect()
@@ -142,20 +144,21 @@ def identify(docs: DataFrame, profiles: Profiles, id_column: str = "doc_id", tex
             )
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in chosen.schema.fields[:-1])
-    return chosen.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return map_arrow(chosen, run, f"{schema}, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, profiles: Profiles, min_score: float = 0.0, text: str = "text") -> DataFrame:
     """``docs``, all columns, without the rows that are ``und`` or score less than ``min_score``; filtered where they
-    are read, without a shuffle."""
+    are read, without a shuffle, and only the text goes to Python."""
     held = docs.sparkSession.sparkContext.broadcast(profiles)
+    small_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, text):
-            got = [held.value.predict(t) for t in b.column(text).to_pylist()]
-            yield b.filter(pa.array([lang != UND and score >= min_score for lang, score in got], pa.bool_()))
+    @arrow_udf(T.BooleanType())
+    def known(texts: pa.Array) -> pa.Array:
+        got = (held.value.predict(t) for t in texts.to_pylist())
+        return pa.array([lang != UND and score >= min_score for lang, score in got], pa.bool_())
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(known(F.col(text)))
 
 
 def train_fold(docs: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import slices
+from callweave.llm.common import map_arrow, slices
 
 THRESHOLD = 0.8
 #: Notices by which a text states its license.
@@ -174,7 +174,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
                 ["doc_id", "license", "coverage", "first_word", "end_word"],
             )
 
-    return likely.mapInArrow(run, "doc_id long, license string, coverage double, first_word long, end_word long")
+    return map_arrow(likely, run, "doc_id long, license string, coverage double, first_word long, end_word long")
 
 
 def digest(docs: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import crc32_mod, settle, slices, utf8
+from callweave.llm.common import crc32_mod, map_arrow, settle, slices, utf8
 from callweave.llm.recurrent import Gru
 
 SMOOTH, SHORTLIST, DICTIONARY, BAND_TOP = 0.1, 4000, 500_000, 16_000
@@ -62,7 +62,7 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
                     held.clear()
         yield out()
 
-    return docs.select(F.col(text).alias("t")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(F.col(text).alias("t")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Dictionary:
@@ -201,7 +201,8 @@ def scores(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text: s
                 )
 
         schema = "doc_id long, key long, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: int>>"
-        each = docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(run, schema).persist()
+        # larger batches: long documents share their steps with more others
+        each = map_arrow(docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")), run, schema, "16m").persist()
         try:
             each.count()  # else the two readers below score the texts at the same time, each for itself
             beyond = each.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times"))

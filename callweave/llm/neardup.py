@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import settle, slices, utf8
+from callweave.llm.common import map_arrow, settle, slices, utf8
 from callweave.plans.graph import connected_components
 
 SEED, BITS, WORDS, DISTANCE = 42, 64, 3, 3
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
             got = np.array([simhash(t) for t in utf8(b.column("t"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(got)], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_column).alias("i"), F.col(text).alias("t")).mapInArrow(run, "doc_id long, fp long")
+    return map_arrow(docs.select(F.col(id_column).alias("i"), F.col(text).alias("t")), run, "doc_id long, fp long")
 
 
 def _blocks(n: int) -> list[tuple[int, int]]:
@@ -247,7 +247,7 @@ def links(fps: DataFrame, count: int, distance: int = DISTANCE, group: int = GRO
         if held is not None and len(held[0]):
             yield flush(held)
 
-    return ready.mapInArrow(run, "src long, dst long")
+    return map_arrow(ready, run, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", distance: int = DISTANCE, group: int = GROUP) -> DataFrame:

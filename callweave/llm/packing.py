@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import settle, slices, utf8
+from callweave.llm.common import map_arrow, settle, slices, utf8
 
 CAPACITY, END = 4096, 2
 #: Words whose ids a worker remembers: of each of two generations; longer words are never kept.
-CACHE_WORDS, CACHE_BYTES = 400_000, 64
+CACHE_WORDS, CACHE_BYTES = 200_000, 64
 
 
 #: The printable form of each byte in a byte-level vocabulary.
@@ -117,8 +117,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
 
-    return docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")).mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+    return map_arrow(
+        docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     )
 
 
@@ -216,8 +216,8 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, i
             sequence, offset = held.value.place(length, rank)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sequence), pa.array(offset)], [*b.schema.names[:-1], "sequence_id", "offset"])
 
-    return ranks(cut, histogram).mapInArrow(
-        run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+    return map_arrow(
+        ranks(cut, histogram), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import slices, utf8
+from callweave.llm.common import map_arrow, slices, utf8
 
 COLUMNS = "doc_id long, section int, char_start long, char_end long, n_tokens long, n_crossing long, doc_tokens long"
 _loaded: dict[str, tuple] = {}
@@ -128,7 +128,7 @@ def section_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text:
                 ["doc_id", "section", "char_start", "char_end", "n_tokens", "n_crossing", "doc_tokens"],
             )
 
-    return chosen.mapInArrow(run, COLUMNS)
+    return map_arrow(chosen, run, COLUMNS)
 
 
 def default_path() -> str:

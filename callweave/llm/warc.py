@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from callweave.llm.common import settle, shared_dir, slices
+from callweave.llm.common import map_arrow, settle, shared_dir, slices
 
 VERSION = b"WARC/1.1\r\n"
 TAG = "tag:callweave,2026:page/"
@@ -199,7 +199,7 @@ def write(pages: DataFrame, folder: str, min_bytes: int = 0, segment_bytes: int
         if out is not None:
             yield closed()
 
-    return settle(with_roles(pages, min_bytes).mapInArrow(run, "path string, records long"))
+    return settle(map_arrow(with_roles(pages, min_bytes), run, "path string, records long"))
 
 
 def read(manifest: DataFrame, folder: str) -> DataFrame:
