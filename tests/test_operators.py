@@ -50,7 +50,7 @@ def symbols(spark, rows):
 def small(spark):
     s = symbols(spark, [(1, 1, "foo", "foo", "function", True, 1, 9, False, False, False, "def foo"), (2, 1, "bar", "A.bar", "method", False, 10, 12, False, False, False, "def bar"), (3, 2, "foo", "foo", "function", True, 3, 4, False, False, False, "fn foo"),
                         (4, 2, "A", "A", "class", False, 5, 6, False, False, False, "class A"), (5, 3, "Login_handler", "x.Login_handler", "function", False, 1, 2, False, False, False, "z"), (6, 3, "secret", "secret", "function", False, 3, 3, False, False, False, "z")])
-    f = spark.createDataFrame([(1, 1, "src/a.ts", "typescript"), (2, 1, "src/lib/b.ts", "typescript"), (3, 2, "src/db/mod.rs", "rust")], "id long, service_id long, path string, language string")
+    f = spark.createDataFrame([(1, 1, "src/a.ts", "typescript"), (2, 1, "src/lib/b.ts", "typescript"), (3, 2, "src/store/mod.rs", "rust")], "id long, service_id long, path string, language string")
     return s, f
 
 
@@ -69,7 +69,7 @@ def test_call_passes(spark, small):
 
 def test_imports(spark, small):
     s, f = small
-    rows = [(1, 1, "foo", "./lib/b", False), (2, 1, "foo", "@/lib/b.ts", True), (3, 1, "x", "react", True), (4, 3, "bar", "crate::db::bar", False), (5, 1, "y", "./lib", False)]
+    rows = [(1, 1, "foo", "./lib/b", False), (2, 1, "foo", "@/lib/b.ts", True), (3, 1, "x", "react", True), (4, 3, "bar", "crate::store::bar", False), (5, 1, "y", "./lib", False)]
     i = spark.createDataFrame(rows, "id long, file_id long, imported_name string, module_path string, is_external boolean")
     files = f.union(spark.createDataFrame([(9, 1, "src/lib/index.js", "javascript")], f.schema))
     got = {r.id: (r.resolved_file_id, r.resolved_symbol_id, r.is_external) for r in resolution.resolve_imports(i, files, s, [("@/*", "./src/*")]).collect()}
