@@ -4,9 +4,9 @@
    shuffle by word); a word that a third of all documents hold is one row for each task before the shuffle.
 2. ``Dictionary``: the words from a count on, of which there are ``DICTIONARY`` at most, go to all executors; the most
    frequent ``SHORTLIST`` are symbols of the network, the others fall into bands by frequency.
-3. The network (``recurrent.Gru``) is trained by truncated backpropagation on every ``1 / TRAIN_SHARE``-th training
-   document, chosen by a hash of the id, so what it learns from grows with the corpus. Tasks train copies in parallel,
-   whose weights are averaged after each of ``ROUNDS`` rounds.
+3. The network (``recurrent.Gru``) is trained by truncated backpropagation on every training document, each in one of
+   ``ROUNDS`` rounds. Tasks, as many as the documents call for, train copies in parallel, whose weights are averaged
+   after each round.
 4. Scoring: each whole document runs through the network, its state carried to the end. Words beyond the dictionary are
    looked up in the counts by a join on the word, which frequent words never enter.
 
@@ -31,10 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import crc32_mod, map_arrow, settle, slices, utf8
-from callweave.llm.recurrent import Gru
+from callweave.llm.recurrent import LANES, Gru
 
 SMOOTH, SHORTLIST, DICTIONARY, BAND_TOP = 0.1, 4000, 500_000, 16_000
-TRAIN_SHARE, TRAIN_LEAST, ROUNDS, TASKS = 64, 500, 2, 64
+#: Training documents of a copy of the network, over all rounds; few long lanes cost most of the time of small copies.
+ROUNDS, COPY = 2, 18_000
+#: Tokens that a task gathers before it trains on them, side by side in up to ``TRAIN_LANES`` lanes.
+GATHERED, TRAIN_LANES = 4_000_000, 256
 #: Distinct words that a counting worker holds before it hands its counts on.
 HELD_WORDS = 300_000
 END = b""
@@ -116,17 +119,13 @@ def dictionary(counts: DataFrame, limit: int = DICTIONARY) -> tuple[Dictionary,
 
 
 def trained(docs: DataFrame, words: Dictionary, count: int, id_column: str = "doc_id", text: str = "text") -> np.ndarray | None:
-    """The averaged weights after ``ROUNDS`` rounds over the sample; None if there's nothing to learn from."""
+    """The averaged weights after ``ROUNDS`` rounds over all ``docs``; None if there's nothing to learn from."""
     if not count or not words.shortlist:
         return None
-    part = max(1, min(TRAIN_SHARE, count // TRAIN_LEAST))
     sc = docs.sparkSession.sparkContext
-    # No seed or clock: the sample is the same in every run.
-    sample = docs.where(F.pmod(F.xxhash64(F.lit("train"), id_column), F.lit(part)) == 0)
-    tasks = max(1, min(TASKS, count // part // TRAIN_LEAST))
-    sample = sample.select(F.pmod(F.xxhash64(F.lit("round"), id_column), F.lit(ROUNDS)).alias("r"), F.col(id_column).alias("i"), F.col(text).alias("t"))
-    sample = settle(sample.repartition(tasks, "i").sortWithinPartitions("i"))
-    copies = sample.rdd.getNumPartitions()
+    copies = max(1, count // COPY)
+    # No seed or clock: rounds and copies are the same in every run.
+    dealt = docs.select(F.pmod(F.xxhash64(F.lit("round"), id_column), F.lit(ROUNDS)).alias("r"), F.col(id_column).alias("i"), F.col(text).alias("t"))
     held, weights = sc.broadcast(words), None
     for k in range(ROUNDS):
         at = sc.broadcast(weights)
@@ -135,8 +134,20 @@ def trained(docs: DataFrame, words: Dictionary, count: int, id_column: str = "do
             net, seen = held.value.network(), 0
             if at.value is not None:
                 net.load(at.value)
+            held_docs, size = [], 0
+
+            def learn() -> int:
+                # as many lanes as the longest document keeps busy to the end
+                return net.train(held_docs, lanes=max(LANES, min(TRAIN_LANES, size // max(map(len, held_docs), default=1))))
+
             for b in slices(batches, "t", 4 << 20):
-                seen += net.train([held.value.symbols(held.value.places(tokens(t))) for t in utf8(b.column("t"))])
+                for t in utf8(b.column("t")):
+                    held_docs.append(held.value.symbols(held.value.places(tokens(t))))
+                    size += len(held_docs[-1])
+                if size >= GATHERED:
+                    seen += learn()
+                    held_docs, size = [], 0
+            seen += learn()
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([net.flat()])], ["n", "w"])
 
@@ -149,8 +160,13 @@ def trained(docs: DataFrame, words: Dictionary, count: int, id_column: str = "do
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()])], ["n", "w"])
 
-        # the copies are averaged in two steps: neither a task nor the driver holds more than about the root of their number
-        got = sample.where(F.col("r") == k).mapInArrow(run, "n long, w binary").repartition(isqrt(copies) + 1).mapInArrow(mean, "n long, w binary").collect()
+        got = dealt.where(F.col("r") == k).drop("r").repartition(copies, "i").sortWithinPartitions("i").mapInArrow(run, "n long, w binary")
+        # copies are averaged in steps: neither a task nor the driver holds more than about the root of their number
+        left = copies
+        while left > 4:
+            left = isqrt(left) + 1
+            got = got.repartition(left).mapInArrow(mean, "n long, w binary")
+        got = got.collect()
         if got:
             weights = (sum(np.frombuffer(g.w, np.float32).astype(np.float64) * g.n for g in got) / sum(g.n for g in got)).astype(np.float32)
     return weights

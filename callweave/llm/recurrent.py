@@ -33,6 +33,7 @@ class Gru:
         self.wc, self.bc = small(hidden, self.classes) * F(0.1), np.log(mass / mass.sum()).astype(F)
         self.wo, self.bo = small(hidden, self.full * CLASS) * F(0.1), np.full(self.full * CLASS, -30, F)
         self.bo[:shortlist] = np.log(p[:shortlist] / mass[self.class_of[:shortlist]])
+        self.past: list[np.ndarray] | None = None
 
     def weights(self) -> list[np.ndarray]:
         return [getattr(self, k) for k in self.NAMES]
@@ -100,12 +101,16 @@ class Gru:
         return total
 
     def train(self, docs: list[np.ndarray], rate: float = 0.1, lanes: int = LANES, window: int = WINDOW) -> int:
-        """One pass of truncated backpropagation with Adagrad over ``docs``; returns the number of tokens."""
+        """One pass of truncated backpropagation with Adagrad over ``docs``; returns the number of tokens. Adagrad's sums
+        go on from call to call."""
         k, seen = self.hidden, 0
         if not docs:
             return 0
-        past = [np.full(w.shape, 1e-2, F) for w in self.weights()]
-        due: list[np.ndarray] | None = None
+        if self.past is None:
+            self.past = [np.full(w.shape, 1e-2, F) for w in self.weights()]
+        past = self.past
+        due = [np.zeros(w.shape, F) for w in self.weights()]
+        gwx, guzr, gun = due[:3]
         held = 0  # where few lanes are left, gradients gather until they stand for half a full window
 
         def step(grads: list[np.ndarray], n: int) -> None:
@@ -113,6 +118,8 @@ class Gru:
                 g = np.clip(g / F(max(1, n) / window), -1, 1)
                 p += g * g
                 w -= F(rate) * g / np.sqrt(p)
+            for g in grads:
+                g.fill(0)
 
         for x, y, doc in _lanes(docs, lanes, late=True):  # the last steps are those with all lanes, not the longest document's
             h = np.zeros((x.shape[1], k), F)
@@ -129,39 +136,43 @@ class Gru:
                 n = int(at.sum())
                 seen += n
                 flat_s, flat_y = s[at], ys[at]
-                ds_out, grads = self._output_gradients(flat_s, flat_y)
+                ds_out = self._output_gradients(flat_s, flat_y, due[3:])
                 d = np.zeros(s.shape, F)
                 d[at] = ds_out
-                gx, guzr, gun = np.zeros((*xs.shape, 3 * k), F), np.zeros_like(self.uzr), np.zeros_like(self.un)
+                hp, z, r, m, rh = (np.stack(v) for v in zip(*kept, strict=True))
+                # what the gradient of a state is multiplied by does not depend on it: one product for the whole window
+                to_n, to_z, to_r, stay = z * (F(1) - m * m), (m - hp) * z * (F(1) - z), hp * r * (F(1) - r), F(1) - z
+                ends = first.any(axis=1)
+                gx, un_t, uzr_t = np.empty((*xs.shape, 3 * k), F), self.un.T, self.uzr.T
                 back = np.zeros((live, k), F)
                 for t in range(len(xs) - 1, -1, -1):
-                    hp, z, r, m, rh = kept[t]
-                    dh = d[t] + back
-                    dan = dh * z * (F(1) - m * m)
-                    drh = dan @ self.un.T
-                    gun += rh.T @ dan
-                    dzr = np.concatenate((dh * (m - hp) * z * (F(1) - z), drh * hp * r * (F(1) - r)), axis=1)
-                    guzr += hp.T @ dzr
-                    back = dh * (F(1) - z) + drh * r + dzr @ self.uzr.T
-                    back *= ~first[t][:, None]
-                    gx[t, :, : 2 * k], gx[t, :, 2 * k :] = dzr, dan
-                gwx = np.zeros_like(self.wx)
-                np.add.at(gwx, xs.ravel(), gx.reshape(-1, 3 * k))
-                fresh = (gwx, guzr, gun, *grads)
-                due = fresh if due is None else [x + y for x, y in zip(due, fresh, strict=True)]
+                    dh, g = d[t] + back, gx[t]
+                    dan = dh * to_n[t]
+                    drh = dan @ un_t
+                    g[:, :k], g[:, k : 2 * k], g[:, 2 * k :] = dh * to_z[t], drh * to_r[t], dan
+                    back = dh * stay[t] + drh * r[t] + g[:, : 2 * k] @ uzr_t
+                    if ends[t]:
+                        back *= ~first[t][:, None]
+                flat = gx.reshape(-1, 3 * k)
+                gun += rh.reshape(-1, k).T @ flat[:, 2 * k :]
+                guzr += hp.reshape(-1, k).T @ flat[:, : 2 * k]
+                np.add.at(gwx, xs.ravel(), flat)
                 held += n
                 if held >= lanes * window // 2 or t0 + window >= len(x):
                     step(due, held)
-                    due, held = None, 0
+                    held = 0
         return seen
 
-    def _output_gradients(self, s: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    def _output_gradients(self, s: np.ndarray, y: np.ndarray, grads: list[np.ndarray]) -> np.ndarray:
+        """The gradient of the states; those of the output's weights are added to ``grads``."""
+        gwc, gbc, gwo, gbo = grads
         c = self.class_of[y]
         logits = s @ self.wc + self.bc
         p = np.exp(logits - _log_sum(logits)[:, None])
         p[np.arange(len(y)), c] -= 1
-        d, gwc, gbc = p @ self.wc.T, s.T @ p, p.sum(axis=0)
-        gwo, gbo = np.zeros_like(self.wo), np.zeros_like(self.bo)
+        d = p @ self.wc.T
+        gwc += s.T @ p
+        gbc += p.sum(axis=0)
         order = np.argsort(c, kind="stable")
         ends = np.searchsorted(c[order], np.arange(self.full + 1))
         for k in range(self.full):
@@ -171,8 +182,9 @@ class Gru:
                 p = np.exp(inner - _log_sum(inner)[:, None])
                 p[np.arange(len(at)), y[at] - k * CLASS] -= 1
                 d[at] += p @ self.wo[:, part].T
-                gwo[:, part], gbo[part] = s[at].T @ p, p.sum(axis=0)
-        return d, [gwc, gbc, gwo, gbo]
+                gwo[:, part] += s[at].T @ p
+                gbo[part] += p.sum(axis=0)
+        return d
 
 
 def _log_sum(logits: np.ndarray) -> np.ndarray:

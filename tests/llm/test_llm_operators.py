@@ -393,6 +393,24 @@ def test_lm_scores(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_learns_from_every_document(spark):
+    rows = [(i, f"a{i % 7} b{i % 5} c{i % 3} d{i % 2} e") for i in range(1100)]
+    count = Counter(w for _, t in rows for w in lm.tokens(t.encode()))
+    words = lm.Dictionary(list(count.items()), sum(count.values()), len(count))
+
+    def weights(rows):
+        return lm.trained(spark.createDataFrame(rows, "doc_id long, text string"), words, len(rows))
+
+    from pyspark.sql import functions as F
+
+    whole = weights(rows)
+    assert np.array_equal(whole, weights(rows))
+    # the order of the words of one document tells whether it was learned from; these are beyond a sample of one half
+    for i in [r.id for r in spark.range(1100).where(F.pmod(F.xxhash64(F.lit("train"), "id"), F.lit(2)) == 1).orderBy("id").limit(3).collect()]:
+        other = [(k, " ".join(reversed(t.split())) if k == i else t) for k, t in rows]
+        assert not np.array_equal(whole, weights(other))
+
+
 def test_lm_edges(spark):
     assert lm.digest(frame(spark, [])).count() == 0
     got = lm.digest(frame(spark)).collect()
