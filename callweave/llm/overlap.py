@@ -1,0 +1,111 @@
+"""Near copies by the overlap of their word shingles: one of each group is kept.
+
+1. ``signed``: a text is the set of XXH64 of its five-word shingles. Texts with equal sets share ``whole``, a hash of the
+   sorted set, and fold into one row before anything is compared.
+2. Candidates share one of ``BANDS`` bands of ``ROWS`` minimum hashes. A pair of similarity 0.8 is missed with a chance
+   of (1 - 0.8^5)^30, below 1 in 100,000; a more similar one more rarely.
+3. ``links``: the exact Jaccard similarity of each candidate pair, from the whole sets.
+4. ``components`` of the links, then one join back to the documents.
+
+Edge cases: null, empty and blank texts are the empty set and copies of each other; a text of fewer than five words is
+one shingle; a null id is never the smallest of a component; repeated rows stay together.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from callweave.llm.common import map_arrow, settle, slices, utf8
+from callweave.plans.graph import connected_components
+
+SEED, WORDS, SIMILAR, BANDS, ROWS = 42, 5, 0.8, 30, 5
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
+_MIX[0] |= np.uint64(1)
+
+
+def shingles(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """The sorted distinct shingle hashes of one UTF-8 text, A-Z lower-cased."""
+    w = (text or b"").lower().split()
+    if not w:
+        return np.zeros(0, np.uint64)
+    flat = b" ".join(w)
+    ends = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))[: max(1, len(w) - words + 1)].tolist()
+    stops = ends[words - 1 :].tolist() if len(w) >= words else [len(flat)]
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(flat[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64))
+
+
+def whole(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes(), SEED)
+
+
+def bands(s: np.ndarray) -> list[int]:
+    """One hash for each band of minimum hashes."""
+    if not len(s):
+        return []
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(s), 1024):
+        x = s[at : at + 1024, None] * _MIX[0] + _MIX[1]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(low, x.min(axis=0), out=low)
+    return [xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)]
+
+
+def _signed(docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """(doc_id, whole)"""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            sets = np.array([whole(shingles(t)) for t in utf8(b.column("t"))], np.uint64)
+            yield pa.RecordBatch.from_arrays([b.column("i"), pa.array(sets.view(np.int64))], ["doc_id", "whole"])
+
+    return map_arrow(docs.select(F.col(id_column).alias("i"), F.col(text).alias("t")), run, "doc_id long, whole long")
+
+
+def _lists(docs: DataFrame, text: str, make, name: str) -> DataFrame:
+    """(whole, name): a list of longs made of each text's shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t", 1 << 20):
+            sets = [shingles(t) for t in utf8(b.column("t"))]
+            lists = [np.asarray(make(s), np.uint64).view(np.int64) for s in sets]
+            at = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int32)
+            flat = np.concatenate([*lists, np.zeros(0, np.int64)])
+            ids = np.array([whole(s) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.ListArray.from_arrays(pa.array(at), pa.array(flat))], ["whole", name])
+
+    return map_arrow(docs.select(F.col(text).alias("t")), run, f"whole long, {name} array<long>")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", similar: float = SIMILAR) -> DataFrame:
+    """The documents with the smallest id of their group of near copies, all rows of it, and those without an id."""
+    each = settle(_signed(docs, id_column, text))
+    distinct = settle(each.groupBy("whole").agg(F.min("doc_id").alias("low")))
+    # one row of each set is enough to compare it: the first with its smallest id
+    first = each.join(distinct, "whole").where("doc_id = low or low is null").select("doc_id").distinct()
+    one = docs.join(first, docs[id_column].eqNullSafe(first["doc_id"]), "left_semi")
+    keys = settle(_lists(one, text, bands, "bands").select("whole", F.explode("bands").alias("band")).distinct())
+    a, b = keys.select(F.col("whole").alias("src"), "band"), keys.select(F.col("whole").alias("dst"), "band")
+    pairs = settle(a.join(b, "band").where("src < dst").select("src", "dst").distinct())
+    asked = pairs.select(F.col("src").alias("whole")).union(pairs.select("dst")).distinct()
+    sets = settle(_lists(one, text, lambda s: s, "s").join(asked, "whole", "left_semi").dropDuplicates(["whole"]))
+    both = F.size(F.array_intersect("sa", "sb"))
+    close = (
+        pairs.join(sets.select(F.col("whole").alias("src"), F.col("s").alias("sa")), "src").join(sets.select(F.col("whole").alias("dst"), F.col("s").alias("sb")), "dst")
+        .where(both >= F.lit(similar) * (F.size("sa") + F.size("sb") - both)).select("src", "dst")
+    )
+    comp = settle(connected_components(close))
+    named = distinct.join(comp.withColumnRenamed("node", "whole"), "whole", "left").withColumn("component", F.coalesce("component", "whole"))
+    named = settle(named)
+    low = settle(named.groupBy("component").agg(F.min("low").alias("component_id")))
+    known = settle(named.join(low, "component").select("whole", "component_id"))
+    kept = each.join(known, "whole").where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(kept, docs[id_column].eqNullSafe(kept["_kept"]), "left_semi")

@@ -10,7 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from callweave.llm import decontaminate, language, neardup, packing, quality
+from callweave.llm import decontaminate, language, overlap, packing, quality
 from callweave.llm.common import shared_dir, table
 
 #: Below this score a text is unlike every language that was learned.
@@ -28,8 +28,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near copies."""
-    return neardup.keep_one(docs)
+    """Keeps the document with the smallest id of each group of near copies: five-word shingles, similarity 0.8."""
+    return overlap.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -221,6 +221,32 @@ def test_simhash_contract(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(frame(spark)).collect())[:3] == [1, 1, 2]
 
 
+def test_pipeline_near_duplicates_brute_force(spark):
+    import corpus_pipeline
+
+    docs = texts(spark, "/root/testdata/sf0.01").union(spark.createDataFrame([(9000, None, None), (9001, " ", None), (9002, "one two", None), (9003, "One  two", None)], "doc_id long, text string, lang string"))
+    sets = {}
+    for r in docs.collect():
+        w = (r.text or "").encode().lower().split()
+        sets[r.doc_id] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    ids = sorted(sets)
+    root = {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, i in enumerate(ids):
+        for j in ids[k + 1 :]:
+            a, b = sets[i], sets[j]
+            if a == b or (min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and len(a & b) >= 0.8 * len(a | b)):
+                x, y = sorted((top(i), top(j)))
+                root[y] = x
+    want = [i for i in ids if root[i] == i]
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id").collect()) == want
+
+
 def _slow_tiling(t, p, least):
     mt, mp, total = [0] * len(t), [0] * len(p), 0
     while True:
