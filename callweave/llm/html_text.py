@@ -2,22 +2,25 @@
 
 A page is cut into blocks of text at block elements. The first pass decides what it can: a block in an element that
 says what it is (navigation, footer, advert, form, comments ...) or with too many characters in links is boilerplate;
-a long block with many stop words is text, and so is any block of some length in an article (an ``article`` or ``main`` element, or a container named so). The second pass gives
-each undecided block (too short, or with a middling share of stop words) the label of its nearest decided neighbours
-in the same region: theirs if they agree, else the nearer one's, else its own leaning. On a
-page without any text by these rules, the undecided blocks are the text. Regions are the articles (or
+a long block with many stop words is text, and so is one of some length with a middling share in an article (an
+``article`` or ``main`` element, or a container named so). The second pass gives each undecided block (too short, or
+with too small a share of stop words for its place) the label of its nearest decided neighbours in the same region:
+theirs if they agree, else the nearer one's, else its own leaning, which is text in an article. On a page without any
+text by these rules, the undecided blocks are the text. Regions are the articles (or
 ``main``) and what stands outside them, so the page's frame says nothing about an article's short lines.
 
 Character references are decoded once. White space inside a block, line breaks included, becomes one space.
 
 Edge cases: a null, empty or text-free page has an empty text; unclosed, crossed and stray tags are closed as browsers
 do; an unclosed comment or script reaches to the end of the page; repeated rows give repeated rows; an empty table
-gives an empty result; further columns are not read.
+gives an empty result; further columns are not read. A page is held whole, and its time is in proportion to its length
+whatever it holds; after a tag with an unclosed quote, a ">" inside quotes ends a tag.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -58,7 +61,8 @@ OTHER = re.compile(r"(?:^|\s)(?:comment[\w-]*|reply|ads?|advert\w*|promo\w*|spon
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
-_attribute = re.compile(r"""([a-zA-Z-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_plain = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_attribute = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _edge = re.compile(r"^\W+|[\W_]+$")
 
 
@@ -99,6 +103,8 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order."""
     out: list[Block] = []
     stack: list[tuple[str, str, int]] = []  # name, why it is frame, region
+    opened: Counter[str] = Counter()  # names on the stack
+    upper: list[int] = []  # the places of block elements on the stack
     regions, parts, linked, in_link, at, pos = 0, [], 0, 0, 0, 0
     heading = False
 
@@ -119,25 +125,43 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(whole, linked, frame, region, heading))
             parts, linked = [], 0
 
-    def pop_to(name: str) -> bool:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == name:
-                del stack[k:]
-                return True
-        return False
+    def pop() -> str:
+        name = stack.pop()[0]
+        opened[name] -= 1
+        if upper and upper[-1] == len(stack):
+            upper.pop()
+        return name
 
+    def pop_to(name: str) -> bool:
+        if not opened[name]:
+            return False
+        while pop() != name:
+            pass
+        return True
+
+    # No search may run to the end of the page for each tag anew: none begins beyond the last ">", after a tag with an
+    # unclosed quote quotes count no more, and a name whose end tag is missing is remembered.
+    token, bound, unended = _token, page.rfind(">") + 1, set()
     low = None
-    while m := _token.search(page, pos):
+    while m := token.search(page, pos, bound):
         text(page[at : m.start()])
         at = pos = m.end()
-        name = (m[2] or m[5] or "").lower()
+        if token is _token:
+            name, closing, attributes = m[2] or m[5] or "", m[1] or m[4], m[3] or m[6] or ""
+            token = _plain if m[5] else _token
+        else:
+            name, closing, attributes = m[2] or "", m[1], m[3] or ""
+        name = name.lower()
         if not name:
+            if page.startswith("<!--", m.start()) and not m[0].endswith("-->"):
+                at = len(page)
+                break
             continue
-        closing, attributes = m[1] or m[4], m[3] or m[6] or ""
         if not closing and name in RAW and not attributes.endswith("/"):
             low = page.lower() if low is None else low
-            end = low.find(f"</{name}", pos)
+            end = -1 if name in unended else low.find(f"</{name}", pos)
             if name in ("title", "svg", "math", "template", "noscript", "object", "audio", "video", "canvas") and end < 0:
+                unended.add(name)
                 continue
             stop = len(page) if end < 0 else page.find(">", end) + 1 or len(page)
             if name in BLOCKS:
@@ -158,12 +182,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in BLOCKS and name != "html":
             in_link = 0 if name in ("p", "li", "article", "nav", "footer") else in_link
-            for k in range(len(stack) - 1, -1, -1):  # a block closes an open paragraph, an item its predecessor
-                if stack[k][0] == "p" or stack[k][0] == name and name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                    del stack[k:]
-                    break
-                if stack[k][0] in BLOCKS:
-                    break
+            nearest = stack[upper[-1]][0] if upper else ""  # a block closes an open paragraph, an item its predecessor
+            if nearest == "p" or nearest == name and name in ("li", "dt", "dd", "tr", "td", "th"):
+                pop_to(nearest)
             heading = name in HEADINGS
         _, frame, region = stack[-1] if stack else ("", "", 0)
         found = _attributes(attributes)
@@ -175,14 +196,18 @@ def blocks(page: str) -> list[Block]:
         if not frame and not region and (article or name in ("div", "section") and CONTENT.search(f"{found.get('class', '')} {found.get('id', '')}")):
             regions += 1
             region = regions
+        if name in BLOCKS:
+            upper.append(len(stack))
+        opened[name] += 1
         stack.append((name, frame, region))
-    text(page[at:])
+    comment = page.find("<!--", at)
+    text(page[at:comment] if comment >= 0 else page[at:])
     flush()
     return out
 
 
 def stop_share(text: str) -> float:
-    words = [w for w in (_edge.sub("", w).lower() for w in text.split()) if w]
+    words = [w for w in (_edge.sub("", w).lower() if len(w) < 64 else w for w in text.split()) if w]  # a stop word is short
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
@@ -193,9 +218,9 @@ def first_pass(b: Block) -> tuple[bool | None, bool]:
         return False, False
     if n < SHORT:
         return (None, b.region > 0) if not b.links or b.region else (False, False)
-    if b.region:
-        return True, True
     share = stop_share(b.text)
+    if b.region:
+        return (True if share >= STOP_LOW else None), True
     if share >= STOP_HIGH:
         return (True, True) if n > LONG else (None, True)
     return (None, True) if share >= STOP_LOW else (False, False)
