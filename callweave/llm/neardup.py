@@ -8,12 +8,20 @@
    over the Gray order: an upper node holds the bits that all below it share (mask and pattern), a lower node only
    those that its ancestors don't, and a query drops a whole node once the accumulated differences pass ``distance``.
    The number of blocks follows the number of fingerprints, so that groups stay small; every choice is exact.
-4. A group of more than ``GROUP`` fingerprints is dealt out as pairs of chunks, each compared in a task of its own.
+4. A group of more than ``GROUP`` fingerprints is keyed anew by blocks of its other bits; what stays as large is dealt out
+   as pairs of chunks, each compared in a task of its own.
 5. Each task joins what it links and emits one edge per fingerprint to the smallest of its part: never all pairs.
 6. ``components`` of these edges, then one join back to the documents.
 
+``near_copies`` finds copies of a given Jaccard similarity (0.8 of five-word shingles), which lie up to 20 bits apart,
+where shared bit blocks prune nothing. Its groups are therefore those that share a key of minimum hashes. Within them the
+same Gray-order index links what lies within ``REACH`` bits; in each cluster of such links the exact similarity of whole
+shingle sets decides, which reads each set once, not once a pair. Equal sets fold into one before all this.
+
 Edge cases: null, empty and blank texts have fingerprint zero and link like any other; a text of one or two words is
-one shingle; repeated rows give repeated rows; a null id is never the smallest of a component; an empty table gives an empty result; further columns are not read.
+one shingle; repeated rows give repeated rows; a null id is never the smallest of a component; an empty table gives an empty result; further columns are not read. A text is held whole by
+one task, at about 90 bytes a word. Chunks of a group bound a task's memory; the work in a group that no key splits grows
+with its square.
 """
 
 from __future__ import annotations
@@ -28,20 +36,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.llm.common import map_arrow, settle, slices, utf8
+from callweave.plans.checkpoints import broadcast_if_small
 from callweave.plans.graph import connected_components
 
 SEED, BITS, WORDS, DISTANCE = 42, 64, 3, 3
+#: Near copies: words of a shingle, least similarity, and the bits in which fingerprints of such a pair differ at most: at
+#: 0.8 about 10 of 64, more than REACH with a chance below 1 in 10,000.
+COPY_WORDS, SIMILAR, REACH = 5, 0.8, 22
+#: Keys of near copies: a pair of similarity 0.8 shares none of BANDS keys of ROWS minimum hashes with a chance of
+#: (1 - 0.8^4)^18, below 1 in 10,000; a more similar one more rarely.
+BANDS, ROWS = 18, 4
+_MIX = np.random.default_rng(SEED).integers(0, 2**63, (2, BANDS * ROWS), dtype=np.uint64)
+_MIX[0] |= np.uint64(1)
+#: Bytes of shingle sets that a task of the last check holds of one cluster, from each side.
+HELD_BYTES = 32 << 20
 #: Fingerprints of one group that a task compares at most; larger groups are dealt out in chunks of this size.
 GROUP = 4096
 #: Runs of up to this many fingerprints are compared directly: the leaves of the index.
 LEAF = 16
 
 
-def simhash(text: bytes | None, words: int = WORDS) -> int:
-    """The fingerprint of one UTF-8 text, A-Z lower-cased, as an unsigned integer."""
+def shingle_hashes(text: bytes | None, words: int = WORDS) -> np.ndarray:
+    """XXH64 of the shingles of one UTF-8 text in their order, A-Z lower-cased; a text of fewer words is one shingle."""
     w = (text or b"").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, ">u8")
     flat = b" ".join(w)
     if len(w) < words:
         digests = [xxhash.xxh64_digest(flat, SEED)]
@@ -50,13 +69,22 @@ def simhash(text: bytes | None, words: int = WORDS) -> int:
         starts = np.concatenate(([0], ends[:-1] + 1))[: len(w) - words + 1].tolist()
         h = xxhash.xxh64_digest
         digests = [h(flat[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 8), axis=1)
+    return np.frombuffer(b"".join(digests), ">u8")
+
+
+def fingerprint(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have set, as an unsigned integer."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1)
     n, ones = len(bits), np.zeros(BITS, np.int64)
     for at in range(0, n, 255):  # sums of 255 rows fit a byte, which numpy adds fastest
         ones += np.add.reduce(bits[at : at + 255], axis=0, dtype=np.uint8)
     return int.from_bytes(np.packbits(ones * 2 > n).tobytes(), "big")
 
 
+def simhash(text: bytes | None, words: int = WORDS) -> int:
+    return fingerprint(shingle_hashes(text, words))
+
+
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long."""
 
@@ -196,56 +224,78 @@ def linked(codes: np.ndarray, group: np.ndarray, side: np.ndarray, distance: int
     return labels
 
 
-def links(fps: DataFrame, count: int, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
-    """(src, dst): edges between distinct fingerprints ``fps`` (fp) that join exactly those within ``distance``."""
+def blocked(fps: DataFrame, count: int, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """(node, t, k, c): every fingerprint ``fps`` (fp) under the keys that it shares with all within ``distance``. What
+    shares a key with more than ``group`` others is keyed once more, by blocks of the bits that the key leaves."""
     tables = choices(count, distance, group)
     code = F.array(*(F.struct(F.lit(i).alias("t"), _permuted(F.col("fp"), order).alias("c")) for i, (order, _) in enumerate(tables)))
-    width = F.lit(64) - F.array(*(F.lit(w) for _, w in tables))[F.col("t")] if len({w for _, w in tables}) > 1 else F.lit(64 - tables[0][1])
-    rows = fps.select("fp", F.inline(code)).withColumn("k", F.call_function("shiftrightunsigned", F.col("c"), width))
-    hot = (
-        rows.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > group)
-        .select("t", "k", F.ceil(F.col("n") / group).cast("int").alias("p"))
+    front = F.array(*(F.lit(w) for _, w in tables))[F.col("t")] if len({w for _, w in tables}) > 1 else F.lit(tables[0][1])
+    rows = fps.select(F.col("fp").alias("node"), F.inline(code)).withColumn("k", F.call_function("shiftrightunsigned", F.col("c"), F.lit(64) - front))
+    hot = settle(rows.groupBy("t", "k").count().where(F.col("count") > group).select("t", "k", F.lit(True).alias("hot")))
+    if hot.isEmpty():
+        return rows
+    width = F.ceil((F.lit(64) - front) / (distance + 1)).cast("int")
+    block = F.call_function("shiftrightunsigned", F.call_function("shiftleft", F.col("c"), front + F.col("j") * width), F.lit(64) - width)
+    return (
+        rows.join(broadcast_if_small(hot), ["t", "k"], "left").withColumn("j", F.explode(F.when(F.col("hot"), F.array(*map(F.lit, range(distance + 1)))).otherwise(F.array(F.lit(-1)))))
+        .select("node", F.when(F.col("hot"), len(tables) + F.col("t") * (distance + 1) + F.col("j")).otherwise(F.col("t")).alias("t"), F.when(F.col("hot"), F.xxhash64("k", block)).otherwise(F.col("k")).alias("k"), "c")
     )
-    hot = settle(hot)
+
+
+def _dealt(rows: DataFrame, keys: list[str], member: str, parts: DataFrame | None) -> DataFrame:
+    """``rows`` with lo, hi and side: a group that ``parts`` (keys, p) names is dealt out as all pairs of p chunks, each a
+    group of its own in which side 0 meets side 1 (one chunk: all meet all)."""
+    if parts is None:
+        return rows.withColumns({"lo": F.lit(0), "hi": F.lit(0), "side": F.lit(0).cast("tinyint")})
     p, x, y = F.coalesce("p", F.lit(1)), F.col("x"), F.col("y")
-    if hot.isEmpty():
-        dealt = rows.select("fp", "t", "k", "c", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).cast("tinyint").alias("side"))
-    else:
-        dealt = (
-            rows.join(hot, ["t", "k"], "left").withColumn("x", F.pmod(F.xxhash64("fp"), p).cast("int"))
-            .withColumn("y", F.explode(F.sequence(F.lit(0), p - 1)))
-            .select("fp", "t", "k", "c", F.least(x, y).alias("lo"), F.greatest(x, y).alias("hi"), F.when(x > y, 1).otherwise(0).cast("tinyint").alias("side"))
-        )
+    return (
+        rows.join(broadcast_if_small(parts), keys, "left").withColumn("x", F.pmod(F.xxhash64(member), p).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), p - 1)))
+        .withColumns({"lo": F.least(x, y), "hi": F.greatest(x, y), "side": F.when(x > y, 1).otherwise(0).cast("tinyint")}).drop("x", "y", "p")
+    )
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[pa.Table]:
+    """The sorted rows in tables of whole groups (rows that are equal in the first ``keys`` columns) of at least ``least``
+    rows, but for the last."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        differs = np.logical_or.reduce([c != c[-1] for c in cols])
+        cut = b.num_rows - int(np.argmax(differs[::-1])) if differs.any() else 0
+        if cut and sum(x.num_rows for x in held) >= least:
+            yield pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
+            held = [b.slice(cut)]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _runs(table: pa.Table, keys: int) -> np.ndarray:
+    """The number of each row's group."""
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in (table.column(i).to_numpy() for i in range(keys))])
+    return np.concatenate(([0], np.cumsum(new)))
+
+
+def links(rows: DataFrame, distance: int = DISTANCE, group: int = GROUP) -> DataFrame:
+    """(src, dst): edges that join exactly those nodes of ``rows`` (node, t, k, c and, if it isn't the node, code) that
+    share a key (t, k) and whose codes lie within ``distance`` bits."""
+    many = settle(rows.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > group).select("t", "k", F.ceil(F.col("n") / group).cast("int").alias("p")))
+    dealt = _dealt(rows, ["t", "k"], "node", None if many.isEmpty() else many)
     sign = F.lit(-(1 << 63)).cast("long")
     ready = (
         dealt.withColumn("g", F.xxhash64("t", "k", "lo", "hi"))
         .repartition("g").sortWithinPartitions("g", "t", "k", "lo", "hi", gray_rank(F.col("c")).bitwiseXOR(sign))
-        .select("fp", "t", "k", "lo", "hi", "side")
+        .select("t", "k", "lo", "hi", "side", "node", *(["code"] if "code" in rows.columns else []))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
-            fp, t, k, lo, hi, side = cols
-            new = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])
-            group = np.concatenate(([0], np.cumsum(new)))
-            labels = linked(fp.view(np.uint64), group, side, distance)
+        for table in _whole_groups(batches, 4, 65536):
+            node, code = table.column("node").to_numpy(), table.column(table.num_columns - 1).to_numpy()
+            labels = linked(code.view(np.uint64), _runs(table, 4), table.column("side").to_numpy(), distance)
             at = np.flatnonzero(labels != np.arange(len(labels)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[at]), pa.array(fp[labels[at]])], ["src", "dst"])
-
-        held: list[np.ndarray] | None = None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            cols = [b.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            held = cols if held is None else [np.concatenate(x) for x in zip(held, cols, strict=True)]
-            _, t, k, lo, hi, _ = held
-            differs = (t != t[-1]) | (k != k[-1]) | (lo != lo[-1]) | (hi != hi[-1])
-            cut = len(t) - int(np.argmax(differs[::-1])) if differs.any() else 0
-            if cut >= 65536 or (cut and len(t) >= 65536):  # whole groups only; the last may go on
-                yield flush([c[:cut] for c in held])
-                held = [c[cut:] for c in held]
-        if held is not None and len(held[0]):
-            yield flush(held)
+            yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[labels[at]])], ["src", "dst"])
 
     return map_arrow(ready, run, "src long, dst long")
 
@@ -254,14 +304,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     """(doc_id, fp, component_id): component_id is the smallest id that links of at most ``distance`` bits reach."""
     each = settle(fingerprints(docs, id_column, text))
     distinct = settle(each.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    edges = settle(links(distinct.select("fp"), distinct.count(), distance, group))
+    edges = settle(links(blocked(distinct.select("fp"), distinct.count(), distance, group), distance, group))
+    return each.join(_named(distinct, "fp", edges), "fp").select("doc_id", "fp", "component_id")
+
+
+def _named(distinct: DataFrame, node: str, edges: DataFrame) -> DataFrame:
+    """(node, component_id) of ``distinct`` (node, low): the smallest ``low`` of those that ``edges`` connect."""
     comp = settle(connected_components(edges))
-    named = distinct.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     # settled, so that the join below has exchanges of its own on both sides, which a large component can be split in
-    named = settle(named)
+    named = settle(distinct.select(node, "low").join(comp.withColumnRenamed("node", node), node, "left").withColumn("component", F.coalesce("component", node)))
     low = settle(named.groupBy("component").agg(F.min("low").alias("component_id")))
-    known = settle(named.join(low, "component").select("fp", "component_id"))
-    return each.join(known, "fp").select("doc_id", "fp", "component_id")
+    return settle(named.join(low, "component").select(node, "component_id"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -270,8 +323,115 @@ def digest(docs: DataFrame) -> DataFrame:
     return n.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The documents with the smallest id of their component, all rows of it, and those without an id, which can't be
-    told apart."""
-    kept = near_duplicates(docs, id_column).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_column].eqNullSafe(kept["_kept"]), "left_semi")
+def marks(s: np.ndarray) -> np.ndarray:
+    """One key for each band of minimum hashes of a set of shingles; none of the empty set."""
+    if not len(s):
+        return np.zeros(0, np.uint64)
+    low = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
+    for at in range(0, len(s), 1024):
+        x = s[at : at + 1024, None] * _MIX[0] + _MIX[1]
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0x9E3779B97F4A7C15)
+        np.minimum(low, x.min(axis=0), out=low)
+    return np.array([xxhash.xxh64_intdigest(low[k * ROWS : (k + 1) * ROWS].tobytes(), k) for k in range(BANDS)], np.uint64)
+
+
+def alike(sets: list[np.ndarray], codes: np.ndarray, side: np.ndarray, similar: float, reach: int) -> np.ndarray:
+    """For each of the sorted ``sets`` the number of the first member of its part: sets are joined if their Jaccard
+    similarity is ``similar`` or more and their codes differ in at most ``reach`` bits. What is joined already isn't
+    compared again; with two sides, only sets of side 0 are compared to those of side 1."""
+    n, size = len(sets), np.array([len(s) for s in sets])
+    labels, flat, starts = np.arange(n), np.concatenate([*sets, np.zeros(0, np.uint64)]), np.concatenate(([0], np.cumsum(size)))
+    crossed = bool(side.any()) and not side.all()
+    for i in range(n):
+        if crossed and side[i]:
+            continue
+        near = (labels != labels[i]) & (np.bitwise_count(codes ^ codes[i]) <= reach) & (np.minimum(size, size[i]) >= similar * np.maximum(size, size[i]))
+        if crossed:
+            near &= side == 1
+        else:
+            near[: i + 1] = False
+        at = np.flatnonzero(near)
+        while len(at):
+            part, at = at[:256], at[256:]
+            cuts = np.concatenate(([0], np.cumsum(size[part])))
+            theirs = flat[np.repeat(starts[part] - cuts[:-1], size[part]) + np.arange(cuts[-1])]
+            place = np.minimum(np.searchsorted(sets[i], theirs), size[i] - 1)
+            both = np.add.reduceat((sets[i][place] == theirs).astype(np.int64), cuts[:-1])
+            for j in part[both >= similar * (size[i] + size[part] - both)].tolist():
+                x, y = sorted((labels[i], labels[j]))
+                if x != y:
+                    labels[labels == y] = x
+            at = at[labels[at] != labels[i]]
+    return labels
+
+
+def near_copies(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similar: float = SIMILAR, reach: int = REACH, group: int = GROUP, held_bytes: int = HELD_BYTES
+) -> DataFrame:
+    """(doc_id, component_id): component_id is the smallest id that links of the given similarity reach."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            rows, keys = [], []
+            for t in utf8(b.column("t")):
+                h = shingle_hashes(t, words)
+                s = np.unique(h).astype(np.uint64)
+                rows.append((xxhash.xxh64_intdigest(s.tobytes(), SEED), fingerprint(h), len(s)))
+                keys.append(marks(s))
+            cols = np.array(rows, np.uint64).reshape(-1, 3).view(np.int64).T
+            at = np.concatenate(([0], np.cumsum([len(k) for k in keys]))).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column("i"), b.column("h"), *map(pa.array, cols), lists], ["doc_id", "h", "whole", "fp", "n", "marks"])
+
+    source = docs.select(F.col(id_column).cast("long").alias("i"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    each = settle(map_arrow(source, sign, "doc_id long, h long, whole long, fp long, n long, marks array<long>"))
+    distinct = settle(each.groupBy("whole", "fp", "n", "marks").agg(F.min("doc_id").alias("low"), F.min("h").alias("h")))
+    rows = distinct.select(F.col("whole").alias("node"), F.col("fp").alias("code"), F.lit(0).alias("t"), F.explode("marks").alias("k"), F.col("fp").alias("c"))
+    clusters = settle(connected_components(settle(links(rows, reach, group))))
+    members = settle(distinct.drop("marks", "fp").join(clusters.withColumnRenamed("node", "whole").withColumnRenamed("component", "cluster"), "whole"))
+    many = (
+        members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") * 2 / group), F.ceil(F.sum("n") * 8 / held_bytes)).cast("int").alias("p")).where("p > 1")
+    )
+    many = settle(many)
+    # the texts of the members, one row for each: of the smallest id, or by its hash where all copies lack one
+    asked = members.select(F.col("low").isNull().alias("none"), F.coalesce("low", "h").alias("of"), "whole", "cluster").distinct()
+    found = source.withColumns({"none": F.col("i").isNull(), "of": F.coalesce("i", "h")}).join(broadcast_if_small(asked, 200_000), ["none", "of"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "t"):
+            at, out, codes = [], [], []
+            for i, (t, whole) in enumerate(zip(utf8(b.column("t")), b.column("whole").to_numpy().view(np.uint64).tolist(), strict=True)):
+                h = shingle_hashes(t, words)
+                s = np.unique(h).astype(np.uint64)
+                if xxhash.xxh64_intdigest(s.tobytes(), SEED) == whole:  # else another row of a repeated id
+                    at.append(i)
+                    out.append(s.tobytes())
+                    codes.append(fingerprint(h))
+            took = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("cluster").take(took), b.column("whole").take(took), pa.array(np.array(codes, np.uint64).view(np.int64)), pa.array(out, pa.binary())], ["cluster", "whole", "code", "s"])
+
+    one = map_arrow(found.select("cluster", "whole", "t"), sets, "cluster long, whole long, code long, s binary").dropDuplicates(["whole"])
+    dealt = _dealt(one, ["cluster"], "whole", None if many.isEmpty() else many)
+    ready = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "side", "whole").select("cluster", "lo", "hi", "side", "whole", "code", "s")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, 3, 256):
+            group_of, whole = _runs(table, 3), table.column("whole").to_numpy()
+            code, side, held = table.column("code").to_numpy().view(np.uint64), table.column("side").to_numpy(), table.column("s")
+            for rows in np.split(np.arange(len(whole)), np.flatnonzero(np.diff(group_of)) + 1):
+                s = [np.frombuffer(x, np.uint64) for x in held.slice(rows[0], len(rows)).to_pylist()]
+                labels = alike(s, code[rows], side[rows], similar, reach)
+                at = np.flatnonzero(labels != np.arange(len(labels)))
+                yield pa.RecordBatch.from_arrays([pa.array(whole[rows[at]]), pa.array(whole[rows[labels[at]]])], ["src", "dst"])
+
+    edges = settle(map_arrow(ready, verify, "src long, dst long"))
+    return each.select("doc_id", "whole").join(_named(distinct, "whole", edges), "whole").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = COPY_WORDS, similar: float = SIMILAR) -> DataFrame:
+    """The documents with the smallest id of their group of near copies, all rows of it, and those without an id, which
+    can't be told apart."""
+    of = near_copies(docs, id_column, text, words, similar)
+    gone = settle(of.where("doc_id is not null").groupBy(F.col("doc_id").alias("_gone")).agg(F.max(F.col("doc_id") == F.col("component_id")).alias("first")).where("not first").select("_gone"))
+    return docs.join(broadcast_if_small(gone, 500_000), F.col(id_column) == gone["_gone"], "left_anti")
