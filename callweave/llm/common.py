@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from callweave.plans.checkpoints import settle, shared_dir
 
-__all__ = ["crc32_mod", "map_arrow", "settle", "small_batches", "shared_dir", "slices", "table", "utf8"]
+__all__ = ["crc32_mod", "map_arrow", "one_thread", "settle", "small_batches", "shared_dir", "slices", "table", "utf8", "written"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,18 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(f, schema)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` computed once and written as a table of the shared folder, of which readers take the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def one_thread(spark: SparkSession) -> None:
+    """Lets the Python workers started from here on multiply matrices in one thread: an executor has a task for each core."""
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+
 def utf8(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
     """A string or binary Arrow column as bytes objects, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()

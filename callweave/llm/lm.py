@@ -1,71 +1,80 @@
 """Language-model scoring with a gated recurrent network.
 
-1. ``word_counts``: the count of every word of every training document, summed in two steps (a worker's counter, then a
-   shuffle by word); a word that a third of all documents hold is one row for each task before the shuffle.
+1. ``word_counts``: the count of every word of every training document, summed in two steps (a slice of texts, then a
+   shuffle by word); a word that a third of all documents hold is one row for each slice before the shuffle.
 2. ``Dictionary``: the words from a count on, of which there are ``DICTIONARY`` at most, go to all executors; the most
    frequent ``SHORTLIST`` are symbols of the network, the others fall into bands by frequency.
-3. The network (``recurrent.Gru``) is trained by truncated backpropagation on every training document, each in one of
-   ``ROUNDS`` rounds. Tasks, as many as the documents call for, train copies in parallel, whose weights are averaged
-   after each round.
-4. Scoring: each whole document runs through the network, its state carried to the end. Words beyond the dictionary are
+3. ``encoded``: every whole document is turned into symbols once, two bytes a token, and written to the shared folder.
+4. The network (``recurrent.Gru``) is trained by truncated backpropagation on every token of every training document,
+   each document in one of ``ROUNDS`` rounds. Copies, one for each ``COPY`` tokens, train in parallel; after each round
+   their weights are averaged slice by slice, so that neither a task nor the driver holds many copies.
+5. Scoring: each whole document runs through the network, its state carried to the end. Words beyond the dictionary are
    looked up in the counts by a join on the word, which frequent words never enter.
 
 A token's probability is P(class | state) P(token | class, state) for a shortlisted token, else P(band | state) times
 its smoothed share of the band, so that probabilities add up to one over the same open vocabulary as the base model.
 
+In training, a document of more than ``SEGMENT`` tokens is learned in segments, each from a zero state, so that one long
+text doesn't leave a task with a single lane. In scoring it is one sequence, however long.
+
 Edge cases: a null or empty text is the end token alone; without a training document all counts are zero, the base
 model knows the end of a document only by smoothing, and the score equals it; repeated rows are scored one by one and
-count as often as they occur; an empty table gives an empty result; further columns are not read.
+count as often as they occur; null or equal ids change nothing, as rows have keys of their own; an empty table gives an
+empty result; further columns are not read. A very long text is held whole by one task, at about 20 bytes a token.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from itertools import repeat
-from math import isqrt, log, log10
+from math import log, log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.llm.common import crc32_mod, map_arrow, settle, slices, utf8
-from callweave.llm.recurrent import LANES, Gru
+from callweave.llm.common import crc32_mod, map_arrow, one_thread, slices, written
+from callweave.llm.recurrent import Gru
 
-SMOOTH, SHORTLIST, DICTIONARY, BAND_TOP = 0.1, 4000, 500_000, 16_000
-#: Training documents of a copy of the network, over all rounds; few long lanes cost most of the time of small copies.
-ROUNDS, COPY = 2, 18_000
-#: Tokens that a task gathers before it trains on them, side by side in up to ``TRAIN_LANES`` lanes.
-GATHERED, TRAIN_LANES = 4_000_000, 256
-#: Distinct words that a counting worker holds before it hands its counts on.
-HELD_WORDS = 300_000
+SMOOTH, SHORTLIST, DICTIONARY, BAND_TOP = 0.1, 2048, 500_000, 16_000
+#: Tokens of a copy of the network, over all rounds.
+ROUNDS, COPY = 2, 6_000_000
+#: Tokens that a task gathers before it trains on them, and the longest piece of a document that it learns at once.
+GATHERED, SEGMENT = 4_000_000, 4096
+#: Slices of the weights, each averaged on its own.
+SLICES = 64
 END = b""
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """The words of a UTF-8 text, A-Z lower-cased, and the end token."""
-    return [*(text or b"").lower().split(), END]
+def tokens(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct words, the number of each token's word, the first token of each text and the end of the last). The tokens
+    of a text are its words, A-Z lower-cased, and the end token, which is the empty word."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = parts.flatten().dictionary_encode()
+    vocabulary, ids = words.dictionary.cast(pa.binary()).to_pylist(), words.indices.to_numpy(zero_copy_only=False)
+    end = pc.index(words.dictionary, "").as_py()
+    cuts = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    if end < 0:
+        end = len(vocabulary)
+        vocabulary.append(END)
+    full = ids != end  # white space at either end of a text leaves an empty word
+    cuts = np.concatenate(([0], np.cumsum(full)))[cuts]
+    ids = np.insert(ids[full], cuts[1:], end)
+    return vocabulary, ids, cuts + np.arange(len(cuts))
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """(word, n) over all ``docs``; the empty word is the end token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[bytes] = Counter()
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.binary()), pa.array(held.values(), pa.int64())], ["word", "n"])
+        for b in slices(batches, "t", 16 << 20):
+            vocabulary, ids, _ = tokens(b.column("t"))
+            n = np.bincount(ids, minlength=len(vocabulary))
+            yield pa.RecordBatch.from_arrays([pa.array(vocabulary, pa.binary()), pa.array(n)], ["word", "n"])
 
-        for b in slices(batches, "t", 4 << 20):
-            for t in utf8(b.column("t")):
-                held.update(tokens(t))
-                if len(held) > HELD_WORDS:
-                    yield out()
-                    held.clear()
-        yield out()
-
-    return map_arrow(docs.select(F.col(text).alias("t")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_arrow(docs.select(F.col(text).alias("t")), run, "word binary, n long", "16m").where("n > 0").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 class Dictionary:
@@ -118,130 +127,130 @@ def dictionary(counts: DataFrame, limit: int = DICTIONARY) -> tuple[Dictionary,
     return Dictionary([(bytes(w), n) for w, n in chosen], total, distinct), least
 
 
-def trained(docs: DataFrame, words: Dictionary, count: int, id_column: str = "doc_id", text: str = "text") -> np.ndarray | None:
-    """The averaged weights after ``ROUNDS`` rounds over all ``docs``; None if there's nothing to learn from."""
-    if not count or not words.shortlist:
+def encoded(docs: DataFrame, words: Dictionary, train: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, key (unique), train, n_tokens, known (tokens in the dictionary), base and model (what
+    the two scores sum up outside the network), symbols (16 bits each), rare (the words beyond the dictionary with their
+    number of times)."""
+    held = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        words, key = held.value, TaskContext.get().partitionId() << 40
+        for b in slices(batches, "t"):
+            vocabulary, ids, cuts = tokens(b.column("t"))
+            starts, n = cuts[:-1], np.diff(cuts)
+            if not len(starts):
+                continue
+            places = words.places(vocabulary)
+            inside = places >= 0
+            log_count = np.where(inside, words.log_count[places], 0.0) if len(words.log_count) else np.zeros(len(places))
+            within = np.where(inside, words.within[places], -words.log_tail) if len(words.within) else np.full(len(places), -words.log_tail)
+            symbols = words.symbols(places).astype(np.uint16)[ids]
+            beyond = np.flatnonzero(~inside[ids])
+            pair, times = np.unique(np.repeat(np.arange(len(n)), n)[beyond] * len(vocabulary) + ids[beyond], return_counts=True)
+            rare = pa.StructArray.from_arrays([pa.array(vocabulary, pa.binary()).take(pa.array(pair % len(vocabulary))), pa.array(times.astype(np.int32))], ["word", "n"])
+            ends = np.searchsorted(pair, np.arange(len(n) + 1) * len(vocabulary)).astype(np.int32)
+            keys = np.arange(key, key + len(n))
+            key += len(n)
+            raw = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer((cuts * 2).astype(np.int64)), pa.py_buffer(symbols)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("i"), pa.array(keys), b.column("train"), pa.array(n), pa.array(np.add.reduceat(inside[ids].astype(np.int64), starts)),
+                 pa.array(np.add.reduceat(log_count[ids], starts) - words.log_all * n), pa.array(np.add.reduceat(within[ids], starts)),
+                 raw, pa.ListArray.from_arrays(pa.array(ends), rare)],
+                ["doc_id", "key", "train", "n_tokens", "known", "base", "model", "symbols", "rare"],
+            )
+
+    rows = docs.select(F.col(id_column).cast("long").alias("i"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text).alias("t"))
+    schema = "doc_id long, key long, train boolean, n_tokens long, known long, base double, model double, symbols binary, rare array<struct<word: binary, n: int>>"
+    return written(map_arrow(rows, run, schema))
+
+
+def trained(docs: DataFrame, words: Dictionary) -> np.ndarray | None:
+    """The averaged weights after ``ROUNDS`` rounds over all training rows of ``encoded`` documents; None without any."""
+    if not words.total or not words.shortlist:
         return None
-    sc = docs.sparkSession.sparkContext
-    copies = max(1, count // COPY)
-    # No seed or clock: rounds and copies are the same in every run.
-    dealt = docs.select(F.pmod(F.xxhash64(F.lit("round"), id_column), F.lit(ROUNDS)).alias("r"), F.col(id_column).alias("i"), F.col(text).alias("t"))
-    held, weights = sc.broadcast(words), None
+    one_thread(docs.sparkSession)
+    sc, copies, weights = docs.sparkSession.sparkContext, max(1, words.total // COPY), None
+    held, rows = sc.broadcast(words), docs.where("train").select("key", "symbols")
     for k in range(ROUNDS):
         at = sc.broadcast(weights)
 
         def run(batches: Iterator[pa.RecordBatch], at=at) -> Iterator[pa.RecordBatch]:
-            net, seen = held.value.network(), 0
+            from pyspark import TaskContext
+
+            net, seen, pieces, size = held.value.network(), 0, [], 0
             if at.value is not None:
                 net.load(at.value)
-            held_docs, size = [], 0
-
-            def learn() -> int:
-                # as many lanes as the longest document keeps busy to the end
-                return net.train(held_docs, lanes=max(LANES, min(TRAIN_LANES, size // max(map(len, held_docs), default=1))))
-
-            for b in slices(batches, "t", 4 << 20):
-                for t in utf8(b.column("t")):
-                    held_docs.append(held.value.symbols(held.value.places(tokens(t))))
-                    size += len(held_docs[-1])
-                if size >= GATHERED:
-                    seen += learn()
-                    held_docs, size = [], 0
-            seen += learn()
+            for b in batches:
+                for raw in b.column("symbols").to_pylist():
+                    x = np.frombuffer(raw, np.uint16)
+                    pieces.extend(x[i : i + SEGMENT] for i in range(0, len(x), SEGMENT))
+                    size += len(x)
+                    if size >= GATHERED:
+                        seen, pieces, size = seen + net.train(pieces), [], 0
+            seen += net.train(pieces)
             if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([net.flat()])], ["n", "w"])
+                parts, copy = np.array_split(net.flat(), SLICES), TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(range(SLICES), pa.int32()), pa.array([copy] * SLICES, pa.int32()), pa.array([seen] * SLICES), pa.array([p.tobytes() for p in parts], pa.binary())], ["s", "copy", "n", "w"]
+                )
 
         def mean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            n, total = 0, None
+            n, total = {}, {}
             for b in batches:
-                for k, w in zip(b.column("n").to_pylist(), b.column("w").to_pylist(), strict=True):
-                    w = np.frombuffer(w, np.float32).astype(np.float64) * k
-                    n, total = n + k, w if total is None else total + w
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([(total / n).astype(np.float32).tobytes()])], ["n", "w"])
-
-        got = dealt.where(F.col("r") == k).drop("r").repartition(copies, "i").sortWithinPartitions("i").mapInArrow(run, "n long, w binary")
-        # copies are averaged in steps: neither a task nor the driver holds more than about the root of their number
-        left = copies
-        while left > 4:
-            left = isqrt(left) + 1
-            got = got.repartition(left).mapInArrow(mean, "n long, w binary")
-        got = got.collect()
+                for s, m, w in zip(*(b.column(c).to_pylist() for c in ("s", "n", "w")), strict=True):
+                    w = np.frombuffer(w, np.float32).astype(np.float64) * m
+                    total[s] = total[s] + w if s in total else w
+                    n[s] = n.get(s, 0) + m
+            parts = [(total[s] / n[s]).astype(np.float32).tobytes() for s in total]
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(parts, pa.binary())], ["s", "w"])
+
+        # the same rounds, copies and order of sums in every run
+        dealt = rows.where(F.pmod(F.xxhash64(F.lit("round"), "key"), F.lit(ROUNDS)) == k).repartition(copies, F.xxhash64("key")).sortWithinPartitions("key").select("symbols")
+        slices_of = map_arrow(dealt, run, "s int, copy int, n long, w binary").repartition(min(SLICES, copies), "s").sortWithinPartitions("s", "copy")
+        got = sorted(slices_of.mapInArrow(mean, "s int, w binary").collect())
         if got:
-            weights = (sum(np.frombuffer(g.w, np.float32).astype(np.float64) * g.n for g in got) / sum(g.n for g in got)).astype(np.float32)
+            weights = np.concatenate([np.frombuffer(g.w, np.float32) for g in got])
     return weights
 
 
-def scores(docs: DataFrame, train: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of all whole ``docs``, learned from ``train``."""
+def scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) of all whole ``docs``, learned from those that
+    ``train`` is true for."""
     spark = docs.sparkSession
-    counts = word_counts(train, text).persist()
-    try:
-        words, least = dictionary(counts)
-        weights = trained(train, words, int(words.mass[0] - SMOOTH + 0.5) if words.index.get(END) == 0 else 0, id_column, text)
-        held = spark.sparkContext.broadcast((words, weights))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
+    counts = written(word_counts(docs.where(train), text))
+    words, least = dictionary(counts)
+    each = encoded(docs, words, train, id_column, text)
+    weights = trained(each, words)
+    held = spark.sparkContext.broadcast((words.network() if weights is not None else None, weights))
 
-            words, weights = held.value
-            net, key = None, TaskContext.get().partitionId() << 40
-            if weights is not None:
-                net = words.network()
-                net.load(weights)
-            for b in slices(batches, "t", 12 << 20):
-                n, known, base, model, symbols, at, rare, times = [], [], [], [], [], [0], [], []
-                for t in utf8(b.column("t")):
-                    w = tokens(t)
-                    p = words.places(w)
-                    ok = p >= 0
-                    inside = p[ok]
-                    n.append(len(w))
-                    known.append(len(inside))
-                    base.append(float(words.log_count[inside].sum()))
-                    model.append(float(words.within[inside].sum()) - words.log_tail * (len(w) - len(inside)))
-                    symbols.append(words.symbols(p))
-                    beyond = Counter([x for x, y in zip(w, ok.tolist(), strict=True) if not y]) if len(inside) < len(w) else {}
-                    rare.extend(beyond.keys())
-                    times.extend(beyond.values())
-                    at.append(len(rare))
-                base = np.array(base) - words.log_all * np.array(n)
-                net_score = net.score(symbols) / log(10) if net else np.zeros(len(n))
-                keys = np.arange(key, key + len(n))
-                key += len(n)
-                inner = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], ["word", "n"])
-                yield pa.RecordBatch.from_arrays(
-                    [b.column("i"), pa.array(keys), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(np.array(model) + net_score),
-                     pa.ListArray.from_arrays(pa.array(at, pa.int32()), inner)],
-                    ["doc_id", "key", "n_tokens", "known", "base", "model", "rare"],
-                )
-
-        schema = "doc_id long, key long, n_tokens long, known long, base double, model double, rare array<struct<word: binary, n: int>>"
-        # larger batches: long documents share their steps with more others
-        each = map_arrow(docs.select(F.col(id_column).cast("long").alias("i"), F.col(text).alias("t")), run, schema, "16m").persist()
-        try:
-            each.count()  # else the two readers below score the texts at the same time, each for itself
-            beyond = each.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times"))
-            found = beyond.join(counts.where((F.col("n") < least) & (F.octet_length("word") > 0)), "word", "left")
-            sums = found.groupBy("key").agg(
-                F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more")
-            )
-            logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
-            base = F.col("base") + logs
-            return settle(
-                each.drop("rare").join(sums, "key", "left").select(
-                    "doc_id", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), base.alias("base_score"),
-                    (base if weights is None else F.col("model") + logs).alias("score"),
-                )
-            )
-        finally:
-            each.unpersist()
-    finally:
-        counts.unpersist()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, weights = held.value
+        if net is not None:
+            net.load(weights)
+        for b in batches:
+            of = [np.frombuffer(x, np.uint16) for x in b.column("symbols").to_pylist()]
+            net_score = net.score(of) / log(10) if net else np.zeros(len(of))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "doc_id", "n_tokens", "known", "base")), pa.array(b.column("model").to_numpy() + net_score)], ["key", "doc_id", "n_tokens", "known", "base", "model"])
+
+    # larger batches: long documents share their steps with more others
+    whole = map_arrow(each.select("key", "doc_id", "n_tokens", "known", "base", "model", "symbols"), run, "key long, doc_id long, n_tokens long, known long, base double, model double", "8m")
+    beyond = each.select("key", F.explode("rare").alias("r")).select("key", "r.word", F.col("r.n").alias("times"))
+    found = beyond.join(counts.where((F.col("n") < least) & (F.octet_length("word") > 0)), "word", "left")
+    sums = found.groupBy("key").agg(
+        F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("logs"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more")
+    )
+    logs, more = F.coalesce("logs", F.lit(0.0)), F.coalesce("more", F.lit(0))
+    base = F.col("base") + logs
+    return whole.join(sums, "key", "left").select(
+        "doc_id", "n_tokens", (F.col("known") + more).alias("n_known"), F.lit(words.total).cast("long").alias("train_tokens"), base.alias("base_score"),
+        (base if weights is None else F.col("model") + logs).alias("score"),
+    )
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """The contract's columns: learned on one fold, scored on all."""
     held_out = F.coalesce(crc32_mod("doc_id", 10) == 0, F.lit(False))
-    s = scores(docs, docs.where(~held_out))
+    s = scores(docs, ~held_out)
     return s.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
