@@ -61,8 +61,7 @@ def oracle_sql() -> dict[str, str]:
     return {"op4_quality_rules": OP4, "op7_warc": OP7}
 
 
-_STOP = ", ".join(f"'{w}'" for w in quality.STOP_WORDS)
-OP4 = rf"""
+OP4 = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w,
              list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM t),
@@ -76,7 +75,7 @@ c AS (SELECT w.doc_id, w.w, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR n_symbols * 10 > n_words OR (n_dup_lines > 0 AND (line_chars - distinct_chars) * 10 > line_chars * 3) OR word_chars < n_words * 2 OR word_chars > n_words * 15
-            OR digits * 5 > word_chars OR len(list_distinct(w)) * 10 < n_words OR NOT list_has_any(w, [{_STOP}])) AS kept
+            OR digits * 5 > word_chars OR len(list_distinct(w)) * 10 < n_words) AS kept
 FROM b
 """
 

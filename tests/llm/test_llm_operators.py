@@ -166,15 +166,33 @@ def test_quality_counts(spark):
 
 
 def test_quality_order_changes_no_verdict(spark):
-    docs = texts(spark)
+    docs = spark.createDataFrame([(r.doc_id, r.text) for r in texts(spark).collect()] + [(i + 10_000 + 100 * k, t) for k, (i, t) in enumerate(ODD)], "doc_id long, text string")
     rules = [*quality.base_rules(), *quality.standard_rules()]
-    c = quality.with_counts(docs)
-    a = c.select("doc_id", quality.first_rejection(rules).isNull().alias("k")).collect()
-    b = c.select("doc_id", quality.first_rejection(rules[::-1]).isNull().alias("k")).collect()
-    assert sorted(a) == sorted(b)
+    w = quality.Work(docs).add([n for r in rules for n in r.needs])
+    every = {r[0]: {rules[k].name for k in range(len(rules)) if r[k + 1]} for r in w.df.select("doc_id", *(r.rejects(w) for r in rules)).collect()}
+    for order in (rules, rules[::-1]):
+        v = quality.Work(docs).judge(order)
+        for r in v.df.select("doc_id", v("by").alias("by")).collect():  # the first of the order that rejects by itself
+            assert r.by == next((x.name for x in order if x.name in every[r.doc_id]), None)
     figures = [{"name": "x", "seconds": 1.0, "rejected": 5}, {"name": "y", "seconds": 0.1, "rejected": 2}]
-    assert [r.name for r in quality.ordered([quality.Rule("x", None), quality.Rule("y", None)], figures)] == ["y", "x"]
-    assert quality.keep(docs).columns == docs.columns
+    assert [r.name for r in quality.ordered([quality.Rule("x", (), None), quality.Rule("y", (), None)], figures)] == ["y", "x"]
+
+
+def test_quality_costs_are_measured(spark):
+    """From the raw text, a rule that hashes windows costs more than one that looks for signs."""
+    docs = spark.createDataFrame([(None, " ".join(f"w{(i * k) % 977}" for k in range(600))) for i in range(1500)], "doc_id long, text string")
+    rules = [*quality.base_rules(), *quality.standard_rules()]
+    figures = {f["name"]: f["seconds"] for f in quality.estimate(docs, rules)}
+    assert figures["repeated_windows"] > figures["digits"] and figures["repeated_windows"] >= max(figures.values())
+
+
+def test_quality_leaves_columns_alone(spark):
+    good = " ".join("word" + "abcdefghij"[i % 10] + "klmnopqr"[i // 10] for i in range(80))
+    docs = spark.createDataFrame([(1, good, "mine", "a", "b"), (2, "short", "mine", "a", "b")], "doc_id long, text string, rejected_by string, _q_words string, _Q_by string")
+    assert [tuple(r) for r in quality.keep(docs).collect()] == [(1, good, "mine", "a", "b")]
+    out = quality.cascade(docs)
+    assert out.columns == [*docs.columns, "rejected_by_"] and {r.doc_id: r.rejected_by_ for r in out.collect()} == {1: None, 2: "few_words"}
+    assert {r.rejected_by for r in out.collect()} == {"mine"}
 
 
 @pytest.mark.parametrize("group", [4096, 16])
