@@ -46,11 +46,10 @@ class Graph:
     def coupling(self) -> DataFrame:
         return derive.coupling(self.commit_files, self.files)
 
-    def ids(self, *ids: int, name: str = "id") -> DataFrame:
-        return self.spark.createDataFrame([(i,) for i in ids], f"{name} long")
-
-    def keyed(self, *ids: int) -> DataFrame:
-        return self.spark.createDataFrame([(i, i) for i in ids], "key long, node long")
+    @cached_property
+    def seeds(self) -> DataFrame:
+        """(key, node): the sources of searches, every symbol whose id is divisible by 20."""
+        return self.symbols.where("id % 20 = 0").select(F.col("id").alias("key"), F.col("id").alias("node"))
 
 
 def query(oracle: str | None) -> Callable:
@@ -93,6 +92,13 @@ links AS (SELECT DISTINCT * FROM (
             UNION ALL SELECT file_id, resolved_file_id, 'import', '', imported_name FROM imports WHERE resolved_file_id IS NOT NULL) WHERE src <> dst),
 modf AS (SELECT id AS file_id, split_part(regexp_replace(path, '^src/', ''), '/', 1) AS module FROM files)"""
 
+#: Cycles (node, cycle), and communities (id, community_id) with their internal edges.
+REACH = ", rc AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT a, dst FROM rc JOIN edges ON src = b), scc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM rc x JOIN rc y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1) "
+CC = """, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), cc AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT node, b FROM cc JOIN both_ways ON a = seen),
+comp AS (SELECT node, min(seen) AS root FROM cc GROUP BY 1), num AS (SELECT root, row_number() OVER (ORDER BY root) AS cid FROM (SELECT DISTINCT root FROM comp)), mem AS (SELECT node AS id, cid AS community_id FROM comp JOIN num USING (root)) """
+INTERNAL = CC + """, pr AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), lp AS (SELECT src FROM edges WHERE src = dst),
+i AS (SELECT community_id, count(*) AS symbol_count, (2 * (SELECT count(*) FROM pr JOIN mem n ON n.id = pr.a WHERE n.community_id = m.community_id) + (SELECT count(*) FROM lp JOIN mem n ON n.id = lp.src WHERE n.community_id = m.community_id)) // 2 AS internal FROM mem m GROUP BY 1) """
+
 LEVELS = "CASE WHEN health >= 0.8 THEN 'excellent' WHEN health >= 0.6 THEN 'good' WHEN health >= 0.4 THEN 'fair' WHEN health >= 0.2 THEN 'poor' ELSE 'critical' END"
 
 
@@ -170,22 +176,32 @@ def symbol_health(g: Graph) -> DataFrame:
     return metrics.symbol_health(g.symbols, g.calls, g.history)
 
 
-@query("""SELECT module, count(DISTINCT file_id) AS n_files, count(*) AS n_symbols, count(*) FILTER (is_dead) AS n_dead, round(count(*) FILTER (is_dead)::DOUBLE / count(*), 6) AS risk, round(1 - count(*) FILTER (is_dead)::DOUBLE / count(*), 6) AS health,
-count(*) FILTER (fan_in >= 4 AND NOT is_test AND NOT is_dead) AS n_god_objects, 0::BIGINT AS n_cycles FROM sx JOIN modf USING (file_id) GROUP BY 1""")
+@query(REACH + """SELECT module, count(DISTINCT file_id) AS n_files, (SELECT string_agg(path, ',' ORDER BY path) FROM files f WHERE f.id IN (SELECT file_id FROM symbols) AND f.id IN (SELECT file_id FROM modf m2 WHERE m2.module = modf.module)) AS files, count(*) AS n_symbols, count(*) FILTER (is_dead) AS n_dead,
+round(count(*) FILTER (is_dead)::DOUBLE / count(*), 6) AS risk, round(1 - count(*) FILTER (is_dead)::DOUBLE / count(*), 6) AS health, count(*) FILTER (fan_in >= 4 AND NOT is_test AND NOT is_dead) AS n_god_objects, count(DISTINCT cycle) AS n_cycles
+FROM sx JOIN modf USING (file_id) LEFT JOIN scc ON scc.node = sx.id GROUP BY 1""")
 def module_summaries(g: Graph) -> DataFrame:
-    return metrics.module_summaries(g.files, g.symbols, g.calls, None, threshold=4)
+    return metrics.module_summaries(g.files, g.symbols, g.calls, impact.strongly_connected(g.edges).select("cycle", F.col("node").alias("id")), threshold=4)
 
 
 @query("SELECT module, round(count(*) FILTER (is_dead)::DOUBLE / count(*), 6) AS risk FROM sx JOIN modf USING (file_id) GROUP BY 1")
 def module_risk(g: Graph) -> DataFrame:
-    return metrics.module_summaries(g.files, g.symbols, g.calls).select("module", "risk")
+    return metrics.module_risk(g.files, g.symbols)
 
 
-@query(""", es AS (SELECT file_id, max(strength) AS strength FROM (SELECT file_a_id AS file_id, strength FROM coup UNION ALL SELECT file_b_id, strength FROM coup) GROUP BY 1),
-d AS (SELECT s.*, module, 0.3 * least(1.0, fan_in::DOUBLE / 20) + 0.3 * CASE WHEN volatile THEN 0.8 ELSE least(1.0, mods::DOUBLE / 30) END + 0.2 * coalesce(strength, 0) + 0.2 * CASE WHEN is_dead THEN 0.5 ELSE 0 END AS r
-FROM sx s JOIN modf USING (file_id) LEFT JOIN es USING (file_id))
+@query(""", es AS (SELECT x.file_id, max(strength) AS strength, count(*) AS coupled, arg_min(o.path, (-strength, o.path)) AS partner FROM (SELECT file_a_id AS file_id, file_b_id AS other, strength FROM coup UNION ALL SELECT file_b_id, file_a_id, strength FROM coup) x JOIN files o ON o.id = other GROUP BY 1),
+ci AS (SELECT id, string_agg(name, ', ' ORDER BY r) AS callers FROM (SELECT dst AS id, name, row_number() OVER (PARTITION BY dst ORDER BY src) AS r FROM edges JOIN symbols s ON s.id = src) WHERE r <= 3 GROUP BY 1),
+co AS (SELECT id, string_agg(name, ', ' ORDER BY r) AS callees FROM (SELECT src AS id, name, row_number() OVER (PARTITION BY src ORDER BY dst) AS r FROM edges JOIN symbols s ON s.id = dst) WHERE r <= 3 GROUP BY 1),
+d AS (SELECT s.*, module, path, strength, coupled, partner, callers, callees, 0.3 * least(1.0, fan_in::DOUBLE / 20) + 0.3 * CASE WHEN volatile THEN 0.8 ELSE least(1.0, mods::DOUBLE / 30) END + 0.2 * coalesce(strength, 0) + 0.2 * CASE WHEN is_dead THEN 0.5 ELSE 0 END AS r,
+ CASE WHEN kind IN ('function', 'method', 'class', 'interface') THEN kind ELSE 'symbol' END || ' of module ' || module || ' in ' || path AS loc
+FROM sx s JOIN modf USING (file_id) JOIN files f ON f.id = s.file_id LEFT JOIN es USING (file_id) LEFT JOIN ci ON ci.id = s.id LEFT JOIN co ON co.id = s.id)
 SELECT id, round(r, 3)::DOUBLE AS risk, CASE WHEN r >= 0.8 THEN 'critical' WHEN r >= 0.6 THEN 'high' WHEN r >= 0.4 THEN 'medium' ELSE 'low' END AS level,
-CASE WHEN is_dead THEN 'unreachable' WHEN fan_in = 0 THEN 'entry_point' ELSE module || '_' || kind END AS role FROM d""")
+CASE WHEN is_dead THEN 'unreachable' WHEN fan_in = 0 THEN 'entry_point' ELSE module || '_' || kind END AS role,
+CASE WHEN is_dead THEN name || ': unreachable ' || loc || '. Nothing leads to it.' ELSE concat_ws(' ', name || ': ' || loc || '.',
+ CASE WHEN fan_in > 0 THEN 'Called by ' || callers || CASE WHEN fan_in > 3 THEN ' and ' || (fan_in - 3) || ' more' ELSE '' END || '.' ELSE 'No caller is known.' END,
+ CASE WHEN fan_out > 0 THEN 'Calls ' || callees || CASE WHEN fan_out > 3 THEN ' and ' || (fan_out - 3) || ' more' ELSE '' END || '.' END,
+ CASE WHEN r >= 0.8 AND concat_ws(', ', CASE WHEN fan_in > 15 THEN 'x' END, CASE WHEN volatile OR mods > 20 THEN 'x' END, CASE WHEN coupled > 0 THEN 'x' END) <> '' THEN 'Critical: ' || concat_ws(', ', CASE WHEN fan_in > 15 THEN fan_in || ' callers' END, CASE WHEN volatile OR mods > 20 THEN 'frequent changes' END, CASE WHEN coupled > 0 THEN coupled || ' coupled files' END) || '.'
+  WHEN r >= 0.5 THEN 'Moderately connected: ' || fan_in || ' in, ' || fan_out || ' out.' END,
+ CASE WHEN strength > 0.7 THEN 'Changes together with ' || partner || '.' END) END AS narrative FROM d""")
 def describe(g: Graph) -> DataFrame:
     return metrics.describe(g.symbols, g.files, g.calls, g.history, g.coupling)
 
@@ -195,13 +211,14 @@ def group_code(g: Graph) -> DataFrame:
     return g.symbols.select("id", metrics.group_code(F.col("kind")).alias("group_code"))
 
 
-@query(""", t AS (SELECT strength FROM coup ORDER BY strength DESC, file_a_id, file_b_id LIMIT 50), v AS (SELECT count(*) FILTER (is_dead) / count(*) AS dead, (SELECT round(avg(strength), 3) FROM t) AS c FROM symbols),
-k AS (SELECT CASE WHEN dead <= 0.05 THEN 100.0 WHEN dead <= 0.15 THEN 70.0 ELSE 30.0 END::DOUBLE AS dead_score, 70.0::DOUBLE AS cycle_score, CASE WHEN c IS NULL OR c <= 0.3 THEN 100.0 WHEN c <= 0.6 THEN 60.0 ELSE 25.0 END::DOUBLE AS coupling_score, 100.0::DOUBLE AS modularity_score FROM v),
+@query(REACH + INTERNAL + """, t AS (SELECT strength FROM coup ORDER BY strength DESC, file_a_id, file_b_id LIMIT 50),
+v AS (SELECT count(*) FILTER (is_dead) / count(*) AS dead, (SELECT round(avg(strength), 3) FROM t) AS c, (SELECT count(DISTINCT cycle) FROM scc) AS n, (SELECT avg(internal / greatest(internal, 1)) FROM i) AS md FROM symbols),
+k AS (SELECT CASE WHEN dead <= 0.05 THEN 100.0 WHEN dead <= 0.15 THEN 70.0 ELSE 30.0 END::DOUBLE AS dead_score, CASE WHEN n = 0 THEN 100.0 WHEN n <= 2 THEN 70.0 WHEN n <= 5 THEN 50.0 ELSE 20.0 END::DOUBLE AS cycle_score, CASE WHEN c IS NULL OR c <= 0.3 THEN 100.0 WHEN c <= 0.6 THEN 60.0 ELSE 25.0 END::DOUBLE AS coupling_score, (md * 100)::DOUBLE AS modularity_score FROM v),
 m AS (SELECT *, (dead_score + cycle_score + coupling_score + modularity_score) / 4 AS mean FROM k)
-SELECT dead_score, cycle_score, coupling_score, modularity_score, round(mean, 3) AS score, CASE WHEN mean >= 85 THEN 'A' WHEN mean >= 70 THEN 'B' WHEN mean >= 55 THEN 'C' WHEN mean >= 40 THEN 'D' ELSE 'F' END AS grade FROM m""")
+SELECT dead_score, cycle_score, coupling_score, round(modularity_score, 3) AS modularity_score, round(mean, 3) AS score, CASE WHEN mean >= 85 THEN 'A' WHEN mean >= 70 THEN 'B' WHEN mean >= 55 THEN 'C' WHEN mean >= 40 THEN 'D' ELSE 'F' END AS grade FROM m""")
 def codebase_health(g: Graph) -> DataFrame:
-    one = g.spark.createDataFrame([(2, 1.0)], "n_cycles long, modularity double")
-    return metrics.codebase_health(g.symbols, one.select("n_cycles"), g.coupling, one.select("modularity"))
+    cycles = impact.strongly_connected(g.edges).select("cycle").distinct().agg(F.count("*").alias("n_cycles"))
+    return metrics.codebase_health(g.symbols, cycles, g.coupling, impact.communities(g.symbols, g.edges)[1])
 
 
 # --- history, coupling, topology, rules ------------------------------------------------------------------------------
@@ -302,6 +319,13 @@ def most_connected(g: Graph) -> DataFrame:
     return derive.most_connected(g.symbols, g.calls)
 
 
+@query(""", mc AS (SELECT id, name, count(*) AS n FROM (SELECT caller_symbol_id AS id FROM calls UNION ALL SELECT callee_symbol_id FROM calls) JOIN symbols USING (id) GROUP BY 1, 2 ORDER BY n DESC, id LIMIT 10),
+gf AS (SELECT f.id, path AS name, count(*) AS n FROM files f JOIN symbols s ON s.file_id = f.id GROUP BY 1, 2 HAVING count(*) >= 15), dd AS (SELECT id, name, 0 AS n FROM symbols WHERE is_dead ORDER BY name, id LIMIT 200)
+SELECT 'most_connected' AS list, row_number() OVER (ORDER BY n DESC, id)::INTEGER AS rank, id, name, n FROM mc UNION ALL SELECT 'god_files', row_number() OVER (ORDER BY n DESC, name, id)::INTEGER, id, name, n FROM gf UNION ALL SELECT 'dead', row_number() OVER (ORDER BY name, id)::INTEGER, id, name, n FROM dd""")
+def insights(g: Graph) -> DataFrame:
+    return derive.insights(g.symbols, g.files, g.calls, god=15)
+
+
 @query("SELECT f.id, path, count(*) AS n FROM files f JOIN symbols s ON s.file_id = f.id GROUP BY 1, 2 HAVING count(*) >= 15")
 def god_files(g: Graph) -> DataFrame:
     return derive.group_files(g.files, g.symbols).where("n >= 15")
@@ -312,6 +336,14 @@ def scip_export(g: Graph) -> DataFrame:
     return derive.scip_occurrences(g.symbols, g.calls, g.files)
 
 
+@query("""SELECT f.path, (SELECT string_agg(line || ':' || role || ':' || symbol, ',' ORDER BY line, role, symbol) FROM (SELECT greatest(line_start - 1, 0) AS line, 1 AS role, qualified_name AS symbol FROM symbols s WHERE s.file_id = f.id UNION ALL SELECT greatest(c.line - 1, 0), 0, qualified_name FROM calls c JOIN symbols s ON s.id = c.callee_symbol_id WHERE c.file_id = f.id)) AS occurrences,
+(SELECT string_agg(DISTINCT qualified_name, ',' ORDER BY qualified_name) FROM symbols s WHERE s.file_id = f.id) AS symbols FROM files f WHERE f.id IN (SELECT file_id FROM symbols UNION SELECT file_id FROM calls)""")
+def scip_documents(g: Graph) -> DataFrame:
+    d = derive.scip_documents(g.symbols, g.calls, g.files)
+    flat = F.transform("occurrences", lambda x: F.concat_ws(":", x["line"].cast("string"), x["role"].cast("string"), x["symbol"]))
+    return d.select("path", F.array_join(flat, ",").alias("occurrences"), F.nullif(F.array_join("symbols", ","), F.lit("")).alias("symbols"))
+
+
 # --- lookups ---------------------------------------------------------------------------------------------------------
 
 
@@ -490,13 +522,21 @@ def resolve_calls(g: Graph) -> DataFrame:
     return resolution.resolve_calls(g.raw_calls, g.symbols, g.files, g.imports).select("id", "callee_symbol_id", "confidence", "resolution")
 
 
-@query(""", q AS (SELECT id, file_id, imported_name, '../' || split_part(module_path, '/', 2) || '/' || split_part(module_path, '/', 3) AS mp FROM imports WHERE NOT is_external AND file_id % 3 <> 1),
-t AS (SELECT q.id, q.imported_name, f.id AS rf FROM q LEFT JOIN files f ON f.path = 'src/' || substr(mp, 4) AND NOT EXISTS (SELECT 1 FROM files x WHERE x.id = q.file_id AND x.language = 'rust'))
-SELECT id, rf AS resolved_file_id, (SELECT first(s.id ORDER BY s.is_exported DESC, s.id) FROM symbols s WHERE s.file_id = rf AND s.name = t.imported_name) AS resolved_symbol_id FROM t""")
+@query(""", q AS (SELECT i.id, i.imported_name, i.is_external, f.language AS lang, t.id AS target, t.language AS tlang, i.id % 2 = 0 AS aliased FROM imports i JOIN files f ON f.id = i.file_id JOIN files t ON t.path = i.module_path),
+t AS (SELECT *, CASE WHEN is_external THEN CASE WHEN aliased AND lang <> 'rust' AND tlang <> 'rust' THEN target END WHEN lang = 'rust' THEN CASE WHEN tlang = 'rust' THEN target END WHEN tlang <> 'rust' THEN target END AS rf FROM q)
+SELECT id, rf AS resolved_file_id, (SELECT first(s.id ORDER BY s.is_exported DESC, s.id) FROM symbols s WHERE s.file_id = rf AND s.name = t.imported_name) AS resolved_symbol_id, is_external AND rf IS NULL AS is_external FROM t""")
 def resolve_imports(g: Graph) -> DataFrame:
-    i = g.imports.where("not is_external and file_id % 3 <> 1").drop("resolved_file_id", "resolved_symbol_id")
-    i = i.withColumn("module_path", F.concat(F.lit("../"), F.substring_index("module_path", "/", -2)))
-    return resolution.resolve_imports(i, g.files, g.symbols).select("id", "resolved_file_id", "resolved_symbol_id")
+    """All imports: relative ones, those of Rust files through the crate, and external ones, half of them behind an alias.
+    Rust files have their suffix, the others are found as they are."""
+    files = g.files.withColumn("path", F.when(F.col("language") == "rust", F.concat("path", F.lit(".rs"))).otherwise(F.col("path")))
+    lang = g.files.select(F.col("id").alias("file_id"), F.col("language").alias("_l"))
+    tail = F.substring_index("module_path", "/", -2)
+    module = (
+        F.when(F.col("is_external"), F.concat(F.when(F.col("id") % 2 == 0, "@app/").otherwise("other/"), tail))
+        .when(F.col("_l") == "rust", F.concat(F.lit("crate::"), F.regexp_replace(tail, "/", "::"))).otherwise(F.concat(F.lit("../"), tail))
+    )
+    i = g.imports.join(lang, "file_id").withColumn("module_path", module).drop("resolved_file_id", "resolved_symbol_id", "_l")
+    return resolution.resolve_imports(i, files, g.symbols, [("@app/*", "./src/*")]).select("id", "resolved_file_id", "resolved_symbol_id", "is_external")
 
 
 @query("SELECT id, 'src/' || split_part(path, '/', 2) || '/x' AS path FROM files")
@@ -537,9 +577,11 @@ def entry_points(g: Graph) -> DataFrame:
 
 # --- graph -----------------------------------------------------------------------------------------------------------
 
-SEEDS = (3, 11, 40)
-UP = ", up AS (SELECT id AS key, id AS node, 0 AS depth FROM symbols WHERE id IN (3, 11, 40) UNION SELECT key, src, depth + 1 FROM up JOIN edges ON dst = node WHERE src <> dst AND depth < {0}), upd AS (SELECT key, node, min(depth) AS depth FROM up GROUP BY 1, 2) "
-DOWN = ", dn AS (SELECT id AS key, id AS node, 0 AS depth FROM symbols WHERE id IN (3, 11, 40) UNION SELECT key, dst, depth + 1 FROM dn JOIN edges ON src = node WHERE src <> dst AND depth < {0}), dnd AS (SELECT key, node, min(depth) AS depth FROM dn GROUP BY 1, 2) "
+#: Searches start from every symbol whose id is divisible by 20. The oracles' recursions need a bound to end on cycles;
+#: where the operator has none, theirs lies beyond every distance (DEEP).
+DEEP = 64
+UP = ", up AS (SELECT id AS key, id AS node, 0 AS depth FROM symbols WHERE id % 20 = 0 UNION SELECT key, src, depth + 1 FROM up JOIN edges ON dst = node WHERE src <> dst AND depth < {0}), upd AS (SELECT key, node, min(depth) AS depth FROM up GROUP BY 1, 2) "
+DOWN = ", dn AS (SELECT id AS key, id AS node, 0 AS depth FROM symbols WHERE id % 20 = 0 UNION SELECT key, dst, depth + 1 FROM dn JOIN edges ON src = node WHERE src <> dst AND depth < {0}), dnd AS (SELECT key, node, min(depth) AS depth FROM dn GROUP BY 1, 2) "
 CLOSURE = ", live AS (SELECT id FROM symbols WHERE is_entry_point OR is_exported OR is_test UNION SELECT dst FROM live JOIN edges ON src = live.id) "
 
 
@@ -548,45 +590,47 @@ def build_call_graph(g: Graph) -> DataFrame:
     return impact.graph_nodes(g.calls, g.symbols, g.files)
 
 
-@query("SELECT DISTINCT callee_symbol_id AS target, caller_symbol_id AS id FROM calls WHERE callee_symbol_id IN (3, 11, 40)")
+@query("SELECT DISTINCT callee_symbol_id AS target, caller_symbol_id AS id FROM calls")
 def dependents(g: Graph) -> DataFrame:
-    return impact.dependents(g.calls, g.imports, g.symbols, g.ids(*SEEDS, name="target"))
+    return impact.dependents(g.calls, g.imports, g.symbols, g.symbols.select(F.col("id").alias("target")))
 
 
-@query("SELECT caller_symbol_id AS source, callee_symbol_id AS id, line FROM calls WHERE caller_symbol_id IN (3, 11, 40)")
+@query("SELECT caller_symbol_id AS source, callee_symbol_id AS id, line FROM calls")
 def dependencies(g: Graph) -> DataFrame:
-    return impact.dependencies(g.calls, g.ids(*SEEDS, name="source"))
+    return impact.dependencies(g.calls, g.symbols.select(F.col("id").alias("source")))
 
 
 @query(UP.format(4) + "SELECT key, node, depth FROM upd WHERE depth > 0")
 def traverse_up(g: Graph) -> DataFrame:
-    return impact.traverse(g.edges, g.keyed(*SEEDS), 4, up=True)
+    return impact.traverse(g.edges, g.seeds, 4, up=True)
 
 
 @query(DOWN.format(4) + "SELECT key, node, depth FROM dnd WHERE depth > 0")
 def traverse_down(g: Graph) -> DataFrame:
-    return impact.traverse(g.edges, g.keyed(*SEEDS), 4)
+    return impact.traverse(g.edges, g.seeds, 4)
 
 
 @query(UP.format(11) + "SELECT key, node, depth, depth = 1 AS direct FROM upd WHERE depth > 0")
 def blast_radius(g: Graph) -> DataFrame:
-    return impact.blast_radius(g.edges, g.keyed(*SEEDS))
+    return impact.blast_radius(g.edges, g.seeds)
+
+
+@query(UP.format(11) + "SELECT key, string_agg(DISTINCT path, ',' ORDER BY path) AS affected_files, count(*) AS total, count(*) FILTER (depth = 1) AS n_direct FROM upd JOIN symbols s ON s.id = node JOIN files f ON f.id = s.file_id WHERE depth > 0 GROUP BY 1")
+def blast_radius_files(g: Graph) -> DataFrame:
+    return impact.blast_summary(impact.blast_radius(g.edges, g.seeds), g.symbols, g.files)
 
 
 @query(UP.format(11) + TOPO + """, own AS (SELECT DISTINCT key, service_id FROM upd JOIN symbols s ON s.id = node JOIN files f ON f.id = s.file_id WHERE depth > 0),
 sv AS (SELECT key, service_id, 0 AS rank FROM own UNION SELECT key, from_service_id, rank + 1 FROM sv JOIN topo ON to_service_id = service_id WHERE rank < 6) SELECT key, service_id, min(rank) AS rank FROM sv GROUP BY 1, 2""")
 def blast_radius_cross_service(g: Graph) -> DataFrame:
-    return impact.blast_radius_services(impact.blast_radius(g.edges, g.keyed(*SEEDS)), g.symbols, g.files, _topology(g))
+    return impact.blast_radius_services(impact.blast_radius(g.edges, g.seeds), g.symbols, g.files, _topology(g))
 
 
-@query(DOWN.format(12) + "SELECT key AS src, node AS dst, depth AS steps FROM dnd WHERE depth > 0")
+@query(DOWN.format(DEEP) + """, pt AS (SELECT d.key, d.node, d.depth, (SELECT min(src) FROM edges JOIN dnd p ON p.key = d.key AND p.node = src AND p.depth = d.depth - 1 WHERE dst = d.node) AS parent FROM dnd d),
+wk AS (SELECT key AS src, node AS dst, depth AS step, node, parent FROM pt UNION ALL SELECT w.src, w.dst, w.step - 1, p.node, p.parent FROM wk w JOIN pt p ON p.key = w.src AND p.node = w.parent) SELECT src, dst, step, node FROM wk""")
 def shortest_path(g: Graph) -> DataFrame:
-    found = impact.traverse(g.edges, g.keyed(*SEEDS), 12)
-    paths = impact.shortest_paths(g.edges, found.select(F.col("key").alias("src"), F.col("node").alias("dst")), 12)
-    return paths.groupBy("src", "dst").agg((F.count("*") - 1).cast("int").alias("steps"))
-
-
-REACH = ", rc AS (SELECT src AS a, dst AS b FROM edges WHERE src <> dst UNION SELECT a, dst FROM rc JOIN edges ON src = b), scc AS (SELECT x.a AS node, least(x.a, min(x.b)) AS cycle FROM rc x JOIN rc y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1) "
+    """The paths themselves, from every source to all that it reaches."""
+    return impact.shortest_paths(g.edges, g.seeds.select(F.col("key").alias("src")))
 
 
 @query(REACH + "SELECT cycle, count(*) AS size, string_agg(qualified_name, ',' ORDER BY qualified_name, node) AS members FROM scc JOIN symbols s ON s.id = node GROUP BY 1")
@@ -594,18 +638,12 @@ def detect_cycles(g: Graph) -> DataFrame:
     return impact.detect_cycles(g.edges, g.symbols)
 
 
-@query(DOWN.format(10).replace("IN (3, 11, 40)", "IN (3)") + "SELECT '    n3[' || (SELECT name FROM symbols WHERE id = 3) || '] --> n' || node || '[' || name || ']' AS line FROM dnd JOIN symbols s ON s.id = node WHERE depth > 0")
+@query(DOWN.format(10).replace("id % 20 = 0", "id = 3") + "SELECT '    n3[' || (SELECT name FROM symbols WHERE id = 3) || '] --> n' || node || '[' || name || ']' AS line FROM dnd JOIN symbols s ON s.id = node WHERE depth > 0")
 def call_chain(g: Graph) -> DataFrame:
     return impact.call_chain(g.edges, 3, g.symbols)
 
 
-CC = """, both_ways AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), cc AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT node, b FROM cc JOIN both_ways ON a = seen),
-comp AS (SELECT node, min(seen) AS root FROM cc GROUP BY 1), num AS (SELECT root, row_number() OVER (ORDER BY root) AS cid FROM (SELECT DISTINCT root FROM comp)), mem AS (SELECT node AS id, cid AS community_id FROM comp JOIN num USING (root)) """
-
-
-@query(CC + """, pr AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), lp AS (SELECT src FROM edges WHERE src = dst),
-i AS (SELECT community_id, count(*) AS symbol_count, (2 * (SELECT count(*) FROM pr JOIN mem n ON n.id = pr.a WHERE n.community_id = m.community_id) + (SELECT count(*) FROM lp JOIN mem n ON n.id = lp.src WHERE n.community_id = m.community_id)) // 2 AS internal FROM mem m GROUP BY 1)
-SELECT community_id AS id, 'community_' || community_id AS name, symbol_count, internal AS internal_edges, 0::BIGINT AS external_edges, (internal / greatest(internal, 1))::DOUBLE AS modularity FROM i""")
+@query(INTERNAL + "SELECT community_id AS id, 'community_' || community_id AS name, symbol_count, internal AS internal_edges, 0::BIGINT AS external_edges, (internal / greatest(internal, 1))::DOUBLE AS modularity FROM i")
 def communities(g: Graph) -> DataFrame:
     return impact.communities(g.symbols, g.edges)[1]
 
@@ -621,6 +659,12 @@ def boundaries(g: Graph) -> DataFrame:
     return derive.boundaries(impact.communities(g.symbols, g.edges)[0], g.symbols, g.files)
 
 
+@query(INTERNAL + "SELECT count(*) AS total_modules, coalesce(avg((internal / greatest(internal, 1))::DOUBLE), 0) AS avg_modularity, 0::BIGINT AS boundary_violations FROM i")
+def boundary_summary(g: Graph) -> DataFrame:
+    """No edge leaves a component, so none has more edges outward than inside."""
+    return derive.boundary_summary(impact.communities(g.symbols, g.edges)[1])
+
+
 MODM = ", mm AS (SELECT s.id, module AS community_id FROM symbols s JOIN modf USING (file_id)) "
 
 
@@ -640,41 +684,58 @@ def dead_code(g: Graph) -> DataFrame:
     return impact.with_dead(g.symbols, g.calls).select("id", "is_dead")
 
 
-FLOWS = ", fl AS (SELECT id AS flow_id, id AS symbol_id, 0 AS depth FROM symbols WHERE is_entry_point UNION SELECT flow_id, dst, depth + 1 FROM fl JOIN edges ON src = symbol_id WHERE depth < 30), fs AS (SELECT flow_id, symbol_id, min(depth) AS depth FROM fl GROUP BY 1, 2), fo AS (SELECT *, (row_number() OVER (PARTITION BY flow_id ORDER BY depth, symbol_id) - 1)::INTEGER AS step_order FROM fs) "
+FLOWS = ", fl AS (SELECT id AS flow_id, id AS symbol_id, 0 AS depth FROM symbols WHERE is_entry_point UNION SELECT flow_id, dst, depth + 1 FROM fl JOIN edges ON src = symbol_id WHERE depth < 64), fs AS (SELECT flow_id, symbol_id, min(depth) AS depth FROM fl GROUP BY 1, 2), fo AS (SELECT *, (row_number() OVER (PARTITION BY flow_id ORDER BY depth, symbol_id) - 1)::INTEGER AS step_order FROM fs) "
 
 
 @query(FLOWS + "SELECT flow_id, symbol_id, step_order, depth FROM fo")
 def flows(g: Graph) -> DataFrame:
-    return impact.flows(g.symbols, g.edges, 30).select("flow_id", "symbol_id", "step_order", "depth")
+    return impact.flows(g.symbols, g.edges).select("flow_id", "symbol_id", "step_order", "depth")
 
 
 @query(FLOWS + ", m AS (SELECT min(symbol_id) AS x FROM fo WHERE depth > 1) SELECT flow_id, symbol_id, step_order, depth FROM fo WHERE flow_id IN (SELECT flow_id FROM fo, m WHERE symbol_id = x) ORDER BY flow_id, step_order LIMIT 200")
 def execution_flows(g: Graph) -> DataFrame:
-    steps = impact.flows(g.symbols, g.edges, 30)
+    steps = impact.flows(g.symbols, g.edges)
     return impact.execution_flows(steps, steps.where("depth > 1").agg(F.min("symbol_id")).first()[0]).select("flow_id", "symbol_id", "step_order", "depth")
 
 
-@query(UP.format(30).replace("IN (3, 11, 40)", "IN (40)") + REACH + "SELECT node, depth, EXISTS (SELECT 1 FROM scc JOIN upd USING (node)) OR EXISTS (SELECT 1 FROM edges JOIN upd ON node = src WHERE src = dst) AS has_cycle FROM upd")
+@query(UP.format(DEEP).replace("id % 20 = 0", "id = 40") + REACH + "SELECT node, depth, EXISTS (SELECT 1 FROM scc JOIN upd USING (node)) OR EXISTS (SELECT 1 FROM edges JOIN upd ON node = src WHERE src = dst) AS has_cycle FROM upd")
 def edit_plan(g: Graph) -> DataFrame:
-    return impact.edit_plan(g.edges, 40, 30)
+    return impact.edit_plan(g.edges, 40)
 
 
-CHANGED = ", ch AS (SELECT id AS node FROM symbols WHERE file_id < 20 UNION SELECT src FROM ch JOIN edges ON dst = node) "
+CHANGED = ", ch AS (SELECT id AS node FROM symbols WHERE file_id % 20 = 0 UNION SELECT src FROM ch JOIN edges ON dst = node) "
 
 
 @query(CHANGED + "SELECT id, name FROM symbols WHERE is_test AND id IN (SELECT node FROM ch)")
 def affected_tests(g: Graph) -> DataFrame:
-    return impact.affected_tests(g.symbols, g.edges, g.symbols.where("file_id < 20").select("id"))
+    return impact.affected_tests(g.symbols, g.edges, g.symbols.where("file_id % 20 = 0").select("id"))
 
 
-@query(CHANGED.replace("WHERE file_id < 20", "WHERE file_id < 20 AND id IN (SELECT src FROM edges UNION SELECT dst FROM edges)") + "SELECT min(id) AS id, name FROM symbols WHERE is_test AND id IN (SELECT node FROM ch) GROUP BY name")
+@query(CHANGED.replace("WHERE file_id % 20 = 0", "WHERE file_id % 20 = 0 AND id IN (SELECT src FROM edges UNION SELECT dst FROM edges)") + "SELECT min(id) AS id, name FROM symbols WHERE is_test AND id IN (SELECT node FROM ch) GROUP BY name")
 def affected_tests_by_name(g: Graph) -> DataFrame:
-    return impact.affected_tests(g.symbols, g.edges, g.symbols.where("file_id < 20").select("id"), by_name=True)
+    return impact.affected_tests(g.symbols, g.edges, g.symbols.where("file_id % 20 = 0").select("id"), by_name=True)
+
 
+DIFF = UP.format(5).replace("id % 20 = 0", "file_id % 20 = 0") + ", df AS (SELECT key, s.id, name, qualified_name, kind, path, depth, is_test FROM upd JOIN symbols s ON s.id = node JOIN files f ON f.id = s.file_id WHERE depth > 0) "
 
-@query(UP.format(5).replace("id IN (3, 11, 40)", "file_id < 20") + "SELECT path, count(*) AS n FROM upd JOIN symbols s ON s.id = node JOIN files f ON f.id = s.file_id WHERE depth > 0 AND NOT is_test GROUP BY 1")
+
+def _diff(g: Graph) -> dict[str, DataFrame]:
+    return impact.diff_impact(g.symbols, g.files, g.edges, g.symbols.where("file_id % 20 = 0").select("id"))
+
+
+@query(DIFF + "SELECT path, count(*) AS n FROM df GROUP BY 1 ORDER BY n DESC, path LIMIT 20")
 def diff_impact(g: Graph) -> DataFrame:
-    return impact.diff_impact(g.symbols, g.files, g.edges, g.symbols.where("file_id < 20").select("id"))
+    return _diff(g)["focus"]
+
+
+@query(DIFF + "SELECT key, id, name, qualified_name, kind, path, depth FROM df WHERE NOT is_test")
+def diff_impact_details(g: Graph) -> DataFrame:
+    return _diff(g)["details"]
+
+
+@query(DIFF + "SELECT min(id) AS id, name, arg_min(qualified_name, id) AS qualified_name, arg_min(path, id) AS path FROM df WHERE is_test GROUP BY name")
+def diff_impact_tests(g: Graph) -> DataFrame:
+    return _diff(g)["tests"]
 
 
 @query(""", bw AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), nb AS (SELECT 3::BIGINT AS node, 0 AS depth UNION SELECT b, depth + 1 FROM nb JOIN bw ON a = node WHERE depth < 3), nd AS (SELECT node, min(depth) AS depth FROM nb GROUP BY 1),
@@ -683,17 +744,29 @@ def neighborhood(g: Graph) -> DataFrame:
     return impact.neighborhood(g.edges, 3, 3)[0]
 
 
-@query("SELECT src, dst FROM edges WHERE src IN (SELECT id FROM symbols ORDER BY id LIMIT 500) AND dst IN (SELECT id FROM symbols ORDER BY id LIMIT 500) ORDER BY src, dst LIMIT 10000")
+DATA = ", top AS (SELECT id, name, kind FROM symbols ORDER BY id LIMIT 5000), ge AS (SELECT src, dst FROM edges WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top) ORDER BY src, dst LIMIT 10000) "
+
+
+@query(DATA + "SELECT src, dst FROM ge")
 def graph_data(g: Graph) -> DataFrame:
-    top = g.symbols.select("id").orderBy("id").limit(500)
-    e = g.edges.join(top.withColumnRenamed("id", "src"), "src", "left_semi").join(top.withColumnRenamed("id", "dst"), "dst", "left_semi")
-    return e.select("src", "dst").orderBy("src", "dst").limit(10000)
+    return impact.graph_data(g.symbols, g.edges, metrics.group_code(F.col("kind")))[1]
 
 
-@query("SELECT DISTINCT x.src AS a, x.dst AS b FROM links x JOIN links y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
+@query(DATA + "SELECT id, name, CASE kind WHEN 'function' THEN 0 WHEN 'class' THEN 1 WHEN 'method' THEN 2 WHEN 'interface' THEN 3 ELSE 4 END AS group_code, (SELECT count(*) FROM (SELECT src AS x FROM ge UNION ALL SELECT dst FROM ge) WHERE x = id) AS degree FROM top")
+def graph_data_nodes(g: Graph) -> DataFrame:
+    return impact.graph_data(g.symbols, g.edges, metrics.group_code(F.col("kind")))[0]
+
+
+@query(", ev AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges WHERE (src + dst) % 3 = 0) SELECT DISTINCT x.src AS a, x.dst AS b FROM ev x JOIN ev y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst ORDER BY a, b LIMIT 10")
 def mutual_calls(g: Graph) -> DataFrame:
-    """Between files, where this graph has some."""
-    return impact.mutual_calls(impact.file_links(g.calls, g.imports, g.symbols).select("src", "dst").distinct())
+    """This graph has none, so a third of the edges are called back."""
+    back = g.edges.where("(src + dst) % 3 = 0").select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return impact.mutual_calls(g.edges.union(back))
+
+
+@query("SELECT DISTINCT x.src AS a, x.dst AS b FROM links x JOIN links y ON x.src = y.dst AND x.dst = y.src WHERE x.src < x.dst")
+def mutual_files(g: Graph) -> DataFrame:
+    return impact.mutual_calls(impact.file_links(g.calls, g.imports, g.symbols).select("src", "dst").distinct(), limit=None)
 
 
 @query("SELECT src AS file_id, dst AS other, string_agg(DISTINCT kind || ':' || from_name || '>' || to_name, ',' ORDER BY kind || ':' || from_name || '>' || to_name) AS connections FROM links GROUP BY 1, 2")
@@ -765,19 +838,29 @@ def fts_search(g: Graph) -> DataFrame:
 PHRASE = TOK.replace("q[2], 1, 3", "q[2], 1, 1000").replace("AND starts_with(b.token", "AND b.id = a.id AND starts_with(b.token")
 
 
-@query(PHRASE + """, q AS (SELECT name AS q FROM symbols WHERE id = 7),
+SEARCH = PHRASE + """, q AS (SELECT name AS q FROM symbols WHERE id = 7),
 ft AS (SELECT id, round(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean)), 6)::DOUBLE AS score FROM tf JOIN ln USING (id), tot ORDER BY score DESC, id LIMIT 50),
 fz AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place, score FROM (SELECT id, round(1 - levenshtein(name, q) / greatest(strlen(name), strlen(q)), 6) AS score FROM (SELECT * FROM symbols, q WHERE name ILIKE substr(q, 1, 2) || '%' ORDER BY id LIMIT 500) ORDER BY score DESC, id LIMIT 50)),
 al AS (SELECT id, 1 AS source, -score AS s FROM ft UNION ALL SELECT id, 3, -score FROM fz WHERE place <= 50 - (SELECT count(*) FROM ft)),
 on_ AS (SELECT id, min(source) AS source, arg_min(s, source) AS s FROM al GROUP BY 1)
-SELECT s.id, s.name, round(jaro_winkler_similarity(s.name, q), 6)::DOUBLE AS score FROM on_ JOIN symbols s USING (id), q ORDER BY score DESC, source, on_.s, s.id LIMIT 50""")
+SELECT s.id, s.name, round(jaro_winkler_similarity(s.name, q), 6)::DOUBLE AS score FROM on_ JOIN symbols s USING (id), q ORDER BY score DESC, source, on_.s, s.id LIMIT 50"""
+
+
+@query(SEARCH)
 def search_symbols(g: Graph) -> DataFrame:
     return search.search(g.symbols, _some_name(g))
 
 
-@query("SELECT id, name FROM symbols WHERE name ILIKE '%an%' ORDER BY name, id LIMIT 50")
+@query(TOK.replace("AND starts_with(b.token, substr(q[2], 1, 3))", "AND starts_with(b.token, q[2])") + "SELECT id, round(greatest(ln((docs - df + 0.5) / (df + 0.5)), 0.000001) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * n / mean)), 6)::DOUBLE AS score FROM tf JOIN ln USING (id), tot ORDER BY score DESC, id LIMIT 100")
+def raw_search(g: Graph) -> DataFrame:
+    """The match expression as it is given, up to 100 rows."""
+    return search.fts_search(g.symbols, " ".join(search.query_tokens(_some_name(g))[:2]), 100)
+
+
+@query(SEARCH)
 def workspace_symbols(g: Graph) -> DataFrame:
-    return search.like_search(g.symbols, "an", 50).select("id", "name")
+    """Search with the fuzzy part, up to 50 rows."""
+    return search.search(g.symbols, _some_name(g), 50, True)
 
 
 # --- sources ---------------------------------------------------------------------------------------------------------
@@ -869,3 +952,95 @@ def resolve_rust_module(g: Graph) -> DataFrame:
 def framework_entry_points(g: Graph) -> DataFrame:
     f = g.files.withColumn("path", F.when(F.col("id") % 4 == 1, F.concat(F.substring_index("path", "/", 2), F.lit("/page.tsx"))).otherwise(F.col("path")))
     return derive.with_entry_points(g.symbols, f, ["nextjs"]).select("id", "is_entry_point")
+
+
+#: How a function of two lines is written in each language that one lexical reader serves: head of a file, function, call, tail.
+WRITTEN = {
+    "javascript": ("", "function {} (a) {{\n", "  {}(a); }}\n", ""), "typescript": ("", "export function {}(a: number) {{\n", "  {}(a); }}\n", ""), "go": ("package p\n", "func {}(a int) {{\n", "  {}(a) }}\n", ""),
+    "java": ("class C {\n", "public void {}(int a) {{\n", "  {}(a); }}\n", "}\n"), "csharp": ("class C {\n", "public void {}(int a) {{\n", "  {}(a); }}\n", "}\n"), "rust": ("", "pub fn {}(a: u8) {{\n", "  {}(a); }}\n", ""),
+    "php": ("<?php\n", "function {}($a) {{\n", "  {}($a); }}\n", ""), "ruby": ("", "def {}(a)\n", "  {}(a) ; end\n", ""),
+}
+
+
+def _parser_query(language: str) -> None:
+    head, define, call, tail = WRITTEN[language]
+    first = head.count("\n")
+    oracle = f""", d AS (SELECT s.id, s.file_id, row_number() OVER (PARTITION BY s.file_id ORDER BY s.id) AS k, (SELECT min(dst) FROM edges WHERE src = s.id) AS callee FROM symbols s)
+SELECT f.path, 's' || d.id AS name, ({first} + 2 * k - 1)::INTEGER AS line_start, ({first} + 2 * k)::INTEGER AS line_end, CASE WHEN callee IS NOT NULL THEN 's' || callee END AS callee, CASE WHEN callee IS NOT NULL THEN ({first} + 2 * k)::INTEGER END AS line FROM d JOIN files f ON f.id = d.file_id"""
+
+    def run(g: Graph) -> DataFrame:
+        from callweave.sources.parsers import parse_files as parse
+
+        low = g.edges.groupBy(F.col("src").alias("id")).agg(F.min("dst").alias("callee"))
+        name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+        fill = lambda text, c: F.concat(F.lit(text.split("{}")[0]), name(c), F.lit(text.split("{}")[1].replace("{{", "{").replace("}}", "}")))
+        empty = F.lit("  ; end\n" if language == "ruby" else "  }\n")
+        body = F.concat(fill(define, "id"), F.when(F.col("callee").isNotNull(), fill(call, "callee")).otherwise(empty))
+        code = g.symbols.join(low, "id", "left").groupBy("file_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", body.alias("b")))), lambda x: x["b"]), "").alias("c"))
+        tree = g.files.select(F.col("id").alias("file_id"), "path").join(code, "file_id").select("path", F.lit(language).alias("language"), F.concat(F.lit(head), "c", F.lit(tail)).alias("content"))
+        parsed = parse(tree)
+        calls = parsed.select("path", F.inline("calls")).select("path", F.regexp_extract("caller_name", r"(s\d+)$", 1).alias("name"), F.col("callee_name").alias("callee"), "line")
+        return parsed.select("path", F.inline("symbols")).where("kind in ('function', 'method')").select("path", "name", "line_start", "line_end").join(calls, ["path", "name"], "left")
+
+    run.__name__ = f"parse_{language}"
+    run.__doc__ = f"{language} sources written from the graph, one function of two lines for each symbol, parsed again."
+    query(oracle)(run)
+
+
+for _language in WRITTEN:
+    _parser_query(_language)
+
+
+@query("SELECT '@' || lower(replace(r_name, ' ', '-')) || '/*' AS pattern, 'src/' || lower(replace(r_name, ' ', '-')) || '/*' AS target, (row_number() OVER (ORDER BY length(r_name) DESC, '@' || lower(replace(r_name, ' ', '-')) || '/*'))::INTEGER AS place FROM region")
+def tsconfig_source(g: Graph) -> DataFrame:
+    """Aliases of a configuration written from the regions, with comments and trailing commas."""
+    from callweave.sources.schemas import tsconfig_aliases
+
+    names = [r.r_name.lower().replace(" ", "-") for r in g.spark.read.parquet(f"{g.sf_dir}/region.parquet").collect()]
+    paths = "".join(f'"@{n}/*": ["./{n}/*", "x"], // {n}\n' for n in names)
+    got = tsconfig_aliases('{"compilerOptions": {/* here */ "baseUrl": "./src", "paths": {' + paths + "},},}")
+    return g.spark.createDataFrame([(p, t, k) for k, (p, t) in enumerate(got, 1)], "pattern string, target string, place int")
+
+
+@query("SELECT framework FROM (VALUES ('node'), ('nextjs'), ('vue'), ('pip'), ('django'), ('docker')) AS t(framework)")
+def detect_frameworks(g: Graph) -> DataFrame:
+    """What marker files, a manifest and requirements tell; the projected files tell nothing."""
+    from callweave.sources.discover import detect_frameworks as told
+
+    rows = [("package.json", '{"dependencies": {"next": "1"}, "devDependencies": {"vue": "3", "left-pad": "1"}}'), ("requirements.txt", "# x\nDjango==4\nnumpy\n"), ("Dockerfile", ""), ("deep/angular.json", "{}")]
+    tree = g.files.select("path", F.lit("").alias("content")).union(g.spark.createDataFrame(rows, "path string, content string"))
+    return g.spark.createDataFrame([(f,) for f in told(tree)], "framework string")
+
+
+@query("""SELECT 'symbol' AS kind, path, name, line_start AS line FROM symbols s JOIN files f ON f.id = s.file_id WHERE f.id % 5 > 1 UNION ALL SELECT 'call', path, callee_name, line FROM calls c JOIN files f ON f.id = c.file_id WHERE f.id % 5 > 1
+UNION ALL SELECT 'symbol', path, unnest(['first', 'second']), unnest([1, 3]) FROM files WHERE id % 5 = 1 UNION ALL SELECT 'call', path, 'second', 2 FROM files WHERE id % 5 = 1""")
+def watch_apply_batch(g: Graph) -> DataFrame:
+    """Symbols and calls after a batch that deletes a fifth of the files and rewrites another."""
+    from callweave.plans.indexing import shaped
+    from callweave.streaming.watch import BASE, apply_batch
+
+    base = {n: shaped(getattr(g, n).withColumn("path", F.concat("path", F.lit(".py"))) if n == "files" else getattr(g, n), n) for n in BASE}
+    text = F.when(F.col("id") % 5 == 1, "def first():\n    second()\ndef second():\n    pass\n")
+    batch = base["files"].where("id % 5 < 2").select("path", F.when(F.col("id") % 5 == 0, "delete").otherwise("upsert").alias("op"), text.alias("content"))
+    out = apply_batch(base, batch)
+    f = out["files"].select(F.col("id").alias("file_id"), F.regexp_replace("path", "[.]py$", "").alias("path"))
+    return out["symbols"].join(f, "file_id").select(F.lit("symbol").alias("kind"), "path", "name", F.col("line_start").alias("line")).union(out["calls"].join(f, "file_id").select(F.lit("call"), "path", "callee_name", "line"))
+
+
+@query("SELECT 1::BIGINT AS generation, 'files' AS relation, count(*) AS n, sum(id)::BIGINT AS ids FROM files UNION ALL SELECT 1, 'symbols', count(*), sum(id)::BIGINT FROM symbols UNION ALL SELECT 2, 'files', count(*), sum(id)::BIGINT FROM files WHERE id % 2 = 0 UNION ALL SELECT 2, 'symbols', count(*), sum(id)::BIGINT FROM symbols UNION ALL SELECT 2, 'flows', 0, NULL")
+def store_generations(g: Graph) -> DataFrame:
+    """Two generations of a store: the second replaces one relation and takes over the other."""
+    import uuid
+
+    from callweave.plans.checkpoints import shared_dir
+    from callweave.plans.indexing import shaped
+    from callweave.plans.store import Store
+
+    store = Store(g.spark, f"{shared_dir(g.spark)}/store-{uuid.uuid4().hex}")
+    store.write({"files": shaped(g.files, "files"), "symbols": shaped(g.symbols, "symbols")})
+    store.write({"files": shaped(g.files.where("id % 2 = 0"), "files")})
+    out = None
+    for n, t in ((1, "files"), (1, "symbols"), (2, "files"), (2, "symbols"), (2, "flows")):
+        row = store.read(t, n).agg(F.lit(n).cast("long").alias("generation"), F.lit(t).alias("relation"), F.count("*").alias("n"), F.sum("id").alias("ids"))
+        out = row if out is None else out.union(row)
+    return out

@@ -75,7 +75,3 @@ def jaro_winkler(a: pd.Series, b: pd.Series) -> pd.Series:
     """Jaro-Winkler similarity; equal pairs of a batch are computed once."""
     seen: dict = {}
     return pd.Series([seen[p] if p in seen else seen.setdefault(p, _jaro_winkler(*p)) for p in zip(a, b, strict=True)])
-
-
-def rounded(c: Column, digits: int = 3) -> Column:
-    return F.round(c, digits)

@@ -161,6 +161,23 @@ def cross_community_calls(members: DataFrame, calls: DataFrame) -> DataFrame:
     return c.groupBy("from_community", "to_community").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("callee_name")), ",").alias("callees"))
 
 
+def boundary_summary(communities: DataFrame) -> DataFrame:
+    """One row (total_modules, avg_modularity, boundary_violations): a violation is a community with more edges outward
+    than inside; 0 throughout without any."""
+    return communities.agg(F.count("*").alias("total_modules"), F.coalesce(F.avg("modularity"), F.lit(0.0)).alias("avg_modularity"), F.count_if(F.col("external_edges") > F.col("internal_edges")).alias("boundary_violations"))
+
+
+def insights(symbols: DataFrame, files: DataFrame, calls: DataFrame, top: int = 10, god: int = 50, dead: int = 200) -> DataFrame:
+    """(list, rank, id, name, n) of three lists: most_connected, the ``top`` symbols by degree; god_files, the files of
+    ``god`` symbols and more; dead, the first ``dead`` dead symbols by name."""
+    connected = most_connected(symbols, calls, top).select(F.lit("most_connected").alias("list"), "id", "name", F.col("degree").alias("n"))
+    large = group_files(files, symbols).where(F.col("n") >= god).select(F.lit("god_files").alias("list"), "id", F.col("path").alias("name"), "n")
+    gone = symbols.where("is_dead").orderBy("name", "id").limit(dead).select(F.lit("dead").alias("list"), "id", "name", F.lit(0).cast("long").alias("n"))
+    order = F.expr("row_number() over (partition by list order by n desc, name, id)")
+    by_degree = F.expr("row_number() over (partition by list order by n desc, id)")
+    return connected.withColumn("rank", by_degree).union(large.withColumn("rank", order)).union(gone.withColumn("rank", order)).select("list", "rank", "id", "name", "n")
+
+
 def most_connected(symbols: DataFrame, calls: DataFrame, limit: int = 10) -> DataFrame:
     """(id, name, degree) by call rows in and out."""
     ends = calls.where("callee_symbol_id is not null").select(F.explode(F.array("caller_symbol_id", "callee_symbol_id")).alias("id"))

@@ -6,7 +6,7 @@ shortest distance. Nodes of the call graph are the ends of resolved calls.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from callweave.plans.checkpoints import settle
@@ -58,20 +58,23 @@ def blast_radius_services(hit: DataFrame, symbols: DataFrame, files: DataFrame,
     return frontier_bfs(own, edges).select("key", F.col("node").alias("service_id"), F.col("depth").alias("rank"))
 
 
+def blast_summary(hit: DataFrame, symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, affected_files, total, n_direct) of a blast radius: the sorted distinct paths, joined by commas, and counts."""
+    path = files.select(F.col("id").alias("file_id"), "path")
+    rows = hit.join(symbols.select(F.col("id").alias("node"), "file_id"), "node").join(path, "file_id")
+    return rows.groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("path")), ",").alias("affected_files"), F.count("*").alias("total"), F.count_if("direct").alias("n_direct"))
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(src, dst, step, node): a shortest path for each pair that has one, the smallest predecessor at every step.
 
-    pairs: (src, dst). All sources search in one loop; paths are then walked back over the parents, one join a step."""
-    found = settle(frontier_bfs(pairs.select(F.col("src").alias("key"), F.col("src").alias("node")).distinct(), edges, max_depth))
-    at = pairs.join(found, (F.col("src") == F.col("key")) & (F.col("dst") == F.col("node"))).select("src", "dst", F.col("depth").alias("step"), F.col("dst").alias("node"), "parent")
-    out, front = at.select("src", "dst", "step", "node"), settle(at)
-    step_of = found.select(F.col("key").alias("src"), F.col("node").alias("_n"), F.col("parent").alias("_p"))
-    while True:
-        front = front.where("parent is not null").join(step_of, "src").where("_n = parent").select("src", "dst", (F.col("step") - 1).alias("step"), F.col("_n").alias("node"), F.col("_p").alias("parent"))
-        front = settle(front)
-        if front.isEmpty():
-            return out
-        out = out.union(front.select("src", "dst", "step", "node"))
+    pairs: (src, dst), or (src) for the paths to all that a source reaches. All sources search in one loop, and the
+    frontier carries the path of each node."""
+    found = frontier_bfs(pairs.select(F.col("src").alias("key"), F.col("src").alias("node")).distinct(), edges, max_depth, paths=True)
+    found = found.select(F.col("key").alias("src"), F.col("node").alias("dst"), F.concat("path", F.array("node")).alias("path"))
+    if "dst" in pairs.columns:
+        found = found.join(pairs.select("src", "dst").distinct(), ["src", "dst"], "left_semi")
+    return found.select("src", "dst", F.posexplode("path").alias("step", "node"))
 
 
 def strongly_connected(edges: DataFrame) -> DataFrame:
@@ -195,12 +198,31 @@ def affected_tests(symbols: DataFrame, edges: DataFrame, changed: DataFrame, max
     return tests.groupBy("name").agg(F.min("id").alias("id")).select("id", "name") if by_name else tests
 
 
-def diff_impact(symbols: DataFrame, files: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(path, n): review focus, the affected symbols other than tests of each file, counted once for each changed one."""
+def diff_impact(symbols: DataFrame, files: DataFrame, edges: DataFrame, changed: DataFrame, max_depth: int = 5, top: int = 20) -> dict[str, DataFrame]:
+    """What a change of ``changed`` (id) reaches within ``max_depth`` steps upward, as three tables.
+
+    details (key, id, name, qualified_name, kind, path, depth): symbols other than tests, once for each changed one;
+    tests (id, name, qualified_name, path): the smallest id of each name; focus (path, n): the ``top`` files by affected
+    symbols, tests included, counted once for each changed one."""
     seeds = changed.select(F.col("id").alias("key"), F.col("id").alias("node"))
-    hit = traverse(edges, seeds, max_depth, up=True).select(F.col("node").alias("id"))
-    s = hit.join(symbols.where("not is_test").select("id", "file_id"), "id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
-    return s.groupBy("path").agg(F.count("*").alias("n"))
+    hit = traverse(edges, seeds, max_depth, up=True).withColumnRenamed("node", "id")
+    named = symbols.select("id", "name", "qualified_name", "kind", "is_test", "file_id").join(files.select(F.col("id").alias("file_id"), "path"), "file_id")
+    rows = hit.join(named, "id")
+    tests = rows.where("is_test").groupBy("name").agg(F.min(F.struct("id", "qualified_name", "path")).alias("m")).select("m.id", "name", "m.qualified_name", "m.path")
+    return {
+        "details": rows.where("not is_test").select("key", "id", "name", "qualified_name", "kind", "path", "depth"), "tests": tests,
+        "focus": rows.groupBy("path").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "path").limit(top),
+    }
+
+
+def graph_data(symbols: DataFrame, edges: DataFrame, group: Column, max_nodes: int = 5000, max_edges: int = 10_000) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, name, group_code, degree), the first by id, and the first edges (src, dst) that have both ends among
+    them; the degree counts these edges. ``group``: the group code as a Column of ``symbols``."""
+    top = symbols.orderBy("id").limit(max_nodes).select("id", "name", group.alias("group_code"))
+    e = edges.join(top.select(F.col("id").alias("src")), "src", "left_semi").join(top.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    e = settle(e.orderBy("src", "dst").limit(max_edges))
+    degree = e.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
+    return top.join(degree, "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0))), e
 
 
 def neighborhood(edges: DataFrame, center: int, depth: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -212,10 +234,11 @@ def neighborhood(edges: DataFrame, center: int, depth: int = 2) -> tuple[DataFra
     return near.join(degree, "node", "left").select("node", "depth", F.coalesce("degree", F.lit(0)).alias("degree")), inner
 
 
-def mutual_calls(edges: DataFrame) -> DataFrame:
-    """(a, b): pairs a < b that call each other."""
+def mutual_calls(edges: DataFrame, limit: int | None = 10) -> DataFrame:
+    """(a, b): pairs a < b that call each other, the first ``limit`` in order; None for all."""
     back = edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))
-    return edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(back, ["a", "b"], "left_semi")
+    found = edges.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).join(back, ["a", "b"], "left_semi").distinct()
+    return found if limit is None else found.orderBy("a", "b").limit(limit)
 
 
 def file_links(calls: DataFrame, imports: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -122,21 +122,26 @@ def module_of(path: Column) -> Column:
     return F.when(F.instr(inner, "/") > 0, F.substring_index(inner, "/", 1)).otherwise("root")
 
 
-def module_summaries(files: DataFrame, symbols: DataFrame, calls: DataFrame, cycles: DataFrame | None = None, threshold: int = 20) -> DataFrame:
-    """A row for each module: files with symbols, symbols, dead ones, risk (share of dead), health, god objects, cycles.
+def module_summaries(files: DataFrame, symbols: DataFrame, calls: DataFrame, cycles: DataFrame, threshold: int = 20) -> DataFrame:
+    """A row for each module: files with symbols and their sorted paths, symbols, dead ones, risk (share of dead), health,
+    god objects, cycles.
 
     cycles: (cycle, id); a cycle counts once in each module that it touches."""
-    mod = files.select(F.col("id").alias("file_id"), module_of(F.col("path")).alias("module"))
+    mod = files.select(F.col("id").alias("file_id"), "path", module_of(F.col("path")).alias("module"))
     s = symbols.join(mod, "file_id")
-    base = s.groupBy("module").agg(F.count_distinct("file_id").alias("n_files"), F.count("*").alias("n_symbols"), F.count_if("is_dead").alias("n_dead"))
+    per_file = s.groupBy("module", "file_id", "path").agg(F.count("*").alias("n"), F.count_if("is_dead").alias("d"))
+    base = per_file.groupBy("module").agg(F.count("*").alias("n_files"), F.sum("n").alias("n_symbols"), F.sum("d").alias("n_dead"), F.array_join(F.sort_array(F.collect_list("path")), ",").alias("files"))
     gods = god_objects(symbols, calls, threshold, None).join(mod, "file_id").groupBy("module").agg(F.count("*").alias("n_god_objects"))
-    out = base.join(gods, "module", "left")
-    if cycles is not None:
-        out = out.join(s.join(cycles, "id").groupBy("module").agg(F.count_distinct("cycle").alias("n_cycles")), "module", "left")
-    else:
-        out = out.withColumn("n_cycles", F.lit(0).cast("long"))
+    touched = s.join(cycles, "id").select("module", "cycle").distinct().groupBy("module").agg(F.count("*").alias("n_cycles"))
+    out = base.join(gods, "module", "left").join(touched, "module", "left")
     risk = F.col("n_dead") / F.col("n_symbols")
-    return out.select("module", "n_files", "n_symbols", "n_dead", F.round(risk, 6).alias("risk"), F.round(1 - risk, 6).alias("health"), F.coalesce("n_god_objects", F.lit(0)).alias("n_god_objects"), F.coalesce("n_cycles", F.lit(0)).alias("n_cycles"))
+    return out.select("module", "n_files", "files", "n_symbols", "n_dead", F.round(risk, 6).alias("risk"), F.round(1 - risk, 6).alias("health"), F.coalesce("n_god_objects", F.lit(0)).alias("n_god_objects"), F.coalesce("n_cycles", F.lit(0)).alias("n_cycles"))
+
+
+def module_risk(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(module, risk): the share of dead symbols."""
+    mod = files.select(F.col("id").alias("file_id"), module_of(F.col("path")).alias("module"))
+    return symbols.join(mod, "file_id").groupBy("module").agg(F.round(F.count_if("is_dead") / F.count("*"), 6).alias("risk"))
 
 
 def codebase_health(symbols: DataFrame, n_cycles: DataFrame, coupling: DataFrame, communities: DataFrame) -> DataFrame:
@@ -163,17 +168,43 @@ ROLES = {"pipeline": "core_pipeline", "parse": "parser", "db": "data_access", "g
 
 
 def describe(symbols: DataFrame, files: DataFrame, calls: DataFrame, history: DataFrame, coupling: DataFrame) -> DataFrame:
-    """Risk, level and role of each symbol."""
-    ends = coupling.select(F.col("file_a_id").alias("file_id"), "strength").union(coupling.select("file_b_id", "strength")).groupBy("file_id").agg(F.max("strength").alias("strength"))
-    s = with_history(with_fan(symbols, calls), history).join(ends, "file_id", "left").join(files.select(F.col("id").alias("file_id"), module_of(F.col("path")).alias("module")), "file_id")
+    """Risk, level, role and narrative of each symbol: what and where it is, up to three callers and callees by name, why
+    its risk is high, and the file that changes with its own."""
+    both = coupling.select(F.col("file_a_id").alias("file_id"), F.col("file_b_id").alias("other"), "strength").union(coupling.select("file_b_id", "file_a_id", "strength"))
+    path = files.select(F.col("id").alias("other"), F.col("path").alias("other_path"))
+    ends = both.join(path, "other").groupBy("file_id").agg(F.max("strength").alias("strength"), F.count("*").alias("coupled"), F.min(F.struct(-F.col("strength"), "other_path"))["other_path"].alias("partner"))
+    home = files.select(F.col("id").alias("file_id"), "path", module_of(F.col("path")).alias("module"))
+    s = with_history(with_fan(symbols, calls), history).join(ends, "file_id", "left").join(home, "file_id")
+    known = calls.where("callee_symbol_id is not null").select("caller_symbol_id", "callee_symbol_id").distinct()
+    s = s.join(_first_names(known, "callee_symbol_id", "caller_symbol_id", symbols, "callers"), "id", "left").join(_first_names(known, "caller_symbol_id", "callee_symbol_id", symbols, "callees"), "id", "left")
     one = F.lit(1.0)
-    change = F.when(F.coalesce("is_volatile", F.lit(False)), 0.8).otherwise(F.least(one, F.coalesce("modification_count", F.lit(0)) / 30.0))
-    risk = 0.3 * F.least(one, F.col("fan_in") / 20.0) + 0.3 * change + 0.2 * F.coalesce("strength", F.lit(0.0)) + 0.2 * F.when(F.col("is_dead"), 0.5).otherwise(0.0)
+    mods, volatile = F.coalesce("modification_count", F.lit(0)), F.coalesce("is_volatile", F.lit(False))
+    risk = 0.3 * F.least(one, F.col("fan_in") / 20.0) + 0.3 * F.when(volatile, 0.8).otherwise(F.least(one, mods / 30.0)) + 0.2 * F.coalesce("strength", F.lit(0.0)) + 0.2 * F.when(F.col("is_dead"), 0.5).otherwise(0.0)
     level = F.when(risk >= 0.8, "critical").when(risk >= 0.6, "high").when(risk >= 0.4, "medium").otherwise("low")
     role = F.when(F.col("is_dead"), "unreachable").when(F.col("fan_in") == 0, "entry_point")
     for word, name in ROLES.items():
         role = role.when(F.col("module") == word, name)
-    return s.select("id", half_up(risk).alias("risk"), level.alias("level"), role.otherwise(F.concat_ws("_", "module", "kind")).alias("role"))
+    kind = F.when(F.col("kind").isin("function", "method", "class", "interface"), F.col("kind")).otherwise("symbol")
+    where = F.concat(kind, F.lit(" of module "), "module", F.lit(" in "), "path")
+    more = lambda names, n: F.when(F.col(n) > 3, F.concat(names, F.lit(" and "), (F.col(n) - 3).cast("string"), F.lit(" more"))).otherwise(F.col(names))
+    reasons = F.array_join(F.array_compact(F.array(
+        F.when(F.col("fan_in") > 15, F.concat(F.col("fan_in").cast("string"), F.lit(" callers"))), F.when(volatile | (mods > 20), F.lit("frequent changes")),
+        F.when(F.col("coupled") > 0, F.concat(F.col("coupled").cast("string"), F.lit(" coupled files"))))), ", ")
+    story = F.array_join(F.array_compact(F.array(
+        F.concat("name", F.lit(": "), where, F.lit(".")),
+        F.when(F.col("fan_in") > 0, F.concat(F.lit("Called by "), more("callers", "fan_in"), F.lit("."))).otherwise(F.lit("No caller is known.")),
+        F.when(F.col("fan_out") > 0, F.concat(F.lit("Calls "), more("callees", "fan_out"), F.lit("."))),
+        F.when((risk >= 0.8) & (reasons != ""), F.concat(F.lit("Critical: "), reasons, F.lit("."))).when(risk >= 0.5, F.concat(F.lit("Moderately connected: "), F.col("fan_in").cast("string"), F.lit(" in, "), F.col("fan_out").cast("string"), F.lit(" out."))),
+        F.when(F.col("strength") > 0.7, F.concat(F.lit("Changes together with "), "partner", F.lit("."))))), " ")
+    dead = F.concat("name", F.lit(": unreachable "), where, F.lit(". Nothing leads to it."))
+    return s.select("id", half_up(risk).alias("risk"), level.alias("level"), role.otherwise(F.concat_ws("_", "module", "kind")).alias("role"), F.when(F.col("is_dead"), dead).otherwise(story).alias("narrative"))
+
+
+def _first_names(pairs: DataFrame, key: str, other: str, symbols: DataFrame, out: str, n: int = 3) -> DataFrame:
+    """(id, out): the names of the ``n`` smallest ids beside each key, joined by commas; no more than that is gathered."""
+    ranked = pairs.select(F.col(key).alias("id"), F.col(other).alias("o")).withColumn("r", F.expr("row_number() over (partition by id order by o)")).where(F.col("r") <= n)
+    named = ranked.join(symbols.select(F.col("id").alias("o"), "name"), "o")
+    return named.groupBy("id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "name"))), lambda x: x["name"]), ", ").alias(out))
 
 
 def group_code(kind: Column) -> Column:

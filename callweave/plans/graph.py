@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from callweave.plans.checkpoints import settle
 
@@ -63,30 +64,32 @@ def frontier_bfs(
     edges: DataFrame,
     max_depth: int | None = None,
     key: str = "key",
+    paths: bool = False,
 ) -> DataFrame:
     """(key, node, depth, parent): breadth-first search of many sources in one loop.
 
     seeds: (key, node); edges: (src, dst). The seeds come back at depth 0 with a null parent. ``depth`` is the shortest
     distance within a key, ``parent`` the smallest predecessor at depth - 1. ``max_depth`` is inclusive; None searches
-    until nothing is new.
+    until nothing is new. ``paths`` adds ``path``, the nodes from the seed to the parent.
     """
     step = edges.select(F.col("src").alias("_s"), F.col("dst").alias("_d")).where("_s <> _d").distinct()
     step = settle(step.repartition("_s"))  # read by every level
     kind = step.schema["_d"].dataType
     seen = settle(
         seeds.select(F.col(key).alias("key"), F.col("node").cast(kind).alias("node")).where("node is not null").distinct()
-        .select("key", "node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"))
+        .select("key", "node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), *([F.array().cast(T.ArrayType(kind)).alias("path")] if paths else []))
     )
+    best = [F.min("_s").alias("parent"), *([F.min_by(F.concat("path", F.array("_s")), "_s").alias("path")] if paths else [])]
     depth, front, size = 0, seen, seen.count()
     while size and (max_depth is None or depth < max_depth):
         # a frontier that is counted small goes to the edges, which then stay where they are
         near = F.broadcast(front) if size <= FRONTIER else front
         new = (
-            near.join(step, near.node == step._s)
+            near.drop("depth", "parent").join(step, F.col("node") == F.col("_s")).drop("node")
             .groupBy("key", F.col("_d").alias("node"))
-            .agg(F.min("_s").alias("parent"))
+            .agg(*best)
             .join(seen.select("key", "node"), ["key", "node"], "left_anti")
-            .select("key", "node", F.lit(depth + 1).alias("depth"), "parent")
+            .select("key", "node", F.lit(depth + 1).alias("depth"), "parent", *(["path"] if paths else []))
         )
         front = settle(new)
         size = front.count()

@@ -1,7 +1,7 @@
 """The full index: from a tree of sources to all relations, each phase a function of DataFrames.
 
 Order: structure, parse, imports, calls, inheritance, entry points, dead code, flows, coupling, history, schema
-endpoints, API matches, topology, communities. Ids are ranks in a total order (files by service and path, symbols by
+endpoints, API matches, topology, communities. Inheritance and API calls come from the caller. Ids are ranks in a total order (files by service and path, symbols by
 file and place), so two runs over the same tree agree.
 """
 
@@ -60,7 +60,7 @@ def base_relations(files: DataFrame, services: DataFrame) -> dict[str, DataFrame
     errors = parsed.select("id", F.col("syntax_error_count").alias("parse_error_count"))
     return {
         "services": shaped(services, "services"), "files": settle(shaped(fs.join(errors, "id"), "files")), "symbols": settle(shaped(symbols, "symbols")),
-        "imports": settle(shaped(numbered(i, "file_id", "pos"), "imports")), "calls": settle(shaped(calls.withColumn("resolution", F.lit("unresolved")), "calls")),
+        "imports": settle(shaped(numbered(i, "file_id", "pos").withColumn("was_external", F.col("is_external")), "imports")), "calls": settle(shaped(calls.withColumn("resolution", F.lit("unresolved")), "calls")),
     }
 
 
@@ -83,25 +83,45 @@ def resolved(base: dict[str, DataFrame], config: Config, frameworks: list[str] =
     return out
 
 
-def index(spark: SparkSession, roots: dict[str, str], config: Config | None = None, as_of: int | None = None, history: bool = True) -> dict[str, DataFrame]:
+def noted(service: int, top: dict[str, str]) -> dict[str, str]:
+    """The root files of a service as entries of the metadata relation, from which a watch batch knows them."""
+    return {f"root:{service}:{path}": content for path, content in top.items()}
+
+
+def told(metadata: dict[str, str], config: Config) -> tuple[Config, list[str]]:
+    """The configuration with the aliases, and the frameworks, that the root files in ``metadata`` tell."""
+    tops: dict[int, dict[str, str]] = {}
+    for key, content in metadata.items():
+        if key.startswith("root:"):
+            _, service, path = key.split(":", 2)
+            tops.setdefault(int(service), {})[path] = content
+    aliases = [*config.aliases, *schemas.tsconfig_aliases(tops.get(1, {}).get("tsconfig.json"))]
+    frameworks = sorted({f for top in tops.values() for f in discover.frameworks_of(top)})
+    return Config(config.exclude, config.entry_points, config.rules, aliases), frameworks
+
+
+def index(spark: SparkSession, roots: dict[str, str], config: Config | None = None, as_of: int | None = None, history: bool = True, given: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
     """All relations of the services in ``roots`` (name to folder); nothing is written.
 
-    as_of: epoch seconds to which volatility refers, now by default. history: whether to ask git."""
-    config = config or Config()
+    as_of: epoch seconds to which volatility refers, now by default. history: whether to ask git. given: heritage
+    (child_symbol_id, parent_name, kind) and api_calls, which no parser finds; their targets and the topology follow."""
+    config, given, metadata = config or Config(), given or {}, {}
     names = sorted(roots)
     trees = {n: settle(discover.read_tree(spark, roots[n])) for n in names}
     services = spark.createDataFrame([(k, n, "microservice", roots[n]) for k, n in enumerate(names, 1)], "id long, name string, type string, repo_path string")
-    parts, frameworks, aliases = None, set(), list(config.aliases)
+    parts = None
     for k, n in enumerate(names, 1):
         tree = trees[n]
         mine = tree.where(discover.accepted(F.col("path"), config.exclude, discover.tree_rules(tree)))
         mine = mine.select(F.lit(k).cast("long").alias("service_id"), "path", F.concat(F.lit(roots[n].rstrip("/") + "/"), "path").alias("absolute_path"), parsers.language_of(F.col("path")).alias("language"), "content", F.col("mtime").alias("last_modified"))
         parts = mine if parts is None else parts.union(mine)
-        frameworks |= set(discover.detect_frameworks(tree))
-        if k == 1 and (found := tree.where("path = 'tsconfig.json'").first()):
-            aliases += schemas.tsconfig_aliases(found.content)
+        metadata |= noted(k, discover.root_files(tree))
     base = base_relations(parts, services)
-    out = resolved(base, Config(config.exclude, config.entry_points, config.rules, aliases), sorted(frameworks))
+    out = resolved(base, *told(metadata, config))
+    out["metadata"] = spark.createDataFrame(sorted(metadata.items()), schema("metadata"))
+    if "heritage" in given:
+        h = resolution.resolve_heritage(given["heritage"], out["symbols"])
+        out["heritage"] = shaped(numbered(h, "child_symbol_id", "parent_name"), "heritage")
     edges = settle(impact.call_edges(out["calls"]))
     members, info = impact.communities(out["symbols"], edges)
     out["communities"] = shaped(info, "communities")
@@ -124,4 +144,13 @@ def index(spark: SparkSession, roots: dict[str, str], config: Config | None = No
     e = settle(numbered(found, "service_id", "path_pattern", "method", "protocol"))
     e = e.join(resolution.find_handlers(e, out["symbols"]), "id").join(base["files"].select("service_id", "path", F.col("id").alias("file_id")), ["service_id", "path"], "left")
     out["api_endpoints"] = settle(shaped(e, "api_endpoints"))
+    if "api_calls" in given:
+        api = settle(shaped(given["api_calls"] if "id" in given["api_calls"].columns else numbered(given["api_calls"], "service_id", "url_pattern", "method"), "api_calls"))
+        hit = resolution.resolve_api_calls(api, out["api_endpoints"]).select("id", F.col("endpoint_id").alias("resolved_endpoint_id"), F.col("endpoint_service_id").alias("resolved_service_id"))
+        schema_hit = resolution.boost_schema_matches(api, out["api_endpoints"].where("schema_source is not null")).select("id", F.col("endpoint_id").alias("_schema"))
+        service_of = out["api_endpoints"].select(F.col("id").alias("_schema"), F.col("service_id").alias("_service"))
+        api = api.drop("resolved_endpoint_id", "resolved_service_id").join(hit, "id").join(schema_hit, "id").join(service_of, "_schema", "left")
+        api = api.withColumns({"resolved_endpoint_id": F.coalesce("resolved_endpoint_id", "_schema"), "resolved_service_id": F.coalesce("resolved_service_id", "_service")})
+        out["api_calls"] = settle(shaped(api, "api_calls"))
+        out["service_edges"] = shaped(numbered(derive.service_topology(out["api_calls"]), "from_service_id", "to_service_id", "protocol"), "service_edges")
     return out

@@ -47,6 +47,10 @@ class Store:
             return {}
         return json.loads(self.spark.read.schema("generation long, places string").json(f"{self.folder}/manifests/{generation}").first().places)
 
+    def tables(self) -> set[str]:
+        """The relations that the current generation has."""
+        return set(self._places(self.generation()))
+
     def read(self, table: str, generation: int | None = None) -> DataFrame:
         """A relation of a generation, the current one by default; missing columns are null, a missing table is empty."""
         place = self._places(self.generation() if generation is None else generation).get(table)

@@ -8,7 +8,7 @@ TABLES: dict[str, str] = {
     "services": "id long, name string, type string, repo_path string, base_url string, primary_language string, last_indexed double",
     "files": "id long, service_id long, path string, absolute_path string, language string, last_modified double, last_indexed double, community_id long, parse_error_count int",
     "symbols": "id long, file_id long, name string, qualified_name string, kind string, line_start int, line_end int, parent_symbol_id long, is_exported boolean, is_entry_point boolean, is_dead boolean, is_test boolean, decorators array<string>, signature string, community_id long",
-    "imports": "id long, file_id long, imported_name string, module_path string, resolved_file_id long, resolved_symbol_id long, line int, is_external boolean, original_name string",
+    "imports": "id long, file_id long, imported_name string, module_path string, resolved_file_id long, resolved_symbol_id long, line int, is_external boolean, original_name string, was_external boolean",
     "calls": "id long, caller_symbol_id long, callee_symbol_id long, callee_name string, file_id long, line int, confidence double, resolution string",
     "heritage": "id long, child_symbol_id long, parent_name string, parent_symbol_id long, kind string",
     "coupling": "id long, file_a_id long, file_b_id long, co_changes int, strength double",

@@ -157,12 +157,20 @@ def discover(spark: SparkSession, root: str, exclude: list[str] = ()) -> DataFra
     return tree.where(accepted(F.col("path"), exclude, tree_rules(tree))).withColumn("language", language_of(F.col("path")))
 
 
-def detect_frameworks(tree: DataFrame) -> list[str]:
-    """Frameworks by marker files, the JS manifest and the Python requirements of the root, sorted."""
+#: Files of a service's root from which frameworks and import aliases are told.
+ROOT_FILES = sorted({*MARKERS, "package.json", "requirements.txt", "tsconfig.json"})
+
+
+def root_files(tree: DataFrame) -> dict[str, str]:
+    """The contents of the ``ROOT_FILES`` that a tree has."""
+    return {r.path: r.content or "" for r in tree.where(F.col("path").isin(ROOT_FILES)).select("path", "content").collect()}
+
+
+def frameworks_of(top: dict[str, str]) -> list[str]:
+    """Frameworks by marker files, the JS manifest and the Python requirements among ``root_files``, sorted."""
     import json
 
-    top = {r.path: r.content for r in tree.where(F.col("path").isin(list(MARKERS))).collect()}
-    out = {MARKERS[p] for p in top}
+    out = {MARKERS[p] for p in top if p in MARKERS}
     try:
         manifest = json.loads(top.get("package.json") or "{}")
     except ValueError:
@@ -175,6 +183,10 @@ def detect_frameworks(tree: DataFrame) -> list[str]:
     return sorted(out)
 
 
+def detect_frameworks(tree: DataFrame) -> list[str]:
+    return frameworks_of(root_files(tree))
+
+
 def source_slice(content: Column, line_start: Column, line_end: Column, context: int = 0) -> Column:
     """The lines of a symbol with ``context`` lines around it."""
     lines = F.split(content, "\n")

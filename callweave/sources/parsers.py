@@ -91,28 +91,40 @@ class _PythonVisitor(ast.NodeVisitor):
             self.out.imported(a.name, module, node.lineno, not node.level)
 
     def visit_Call(self, node):  # noqa: N802
+        """Only the callee is followed, in a loop: chains of calls may be long. A call among another's arguments is not
+        recorded."""
+        while isinstance(node, ast.Call | ast.Attribute):
+            if isinstance(node, ast.Attribute):
+                node = node.value
+                continue
+            callee = self.written(node.func)
+            if callee and "\n" not in callee:
+                self.out.call(".".join(s for s, _ in self.stack) or "<module>", callee, node.lineno)
+            node = node.func
+        self.visit(node)
+
+    def written(self, node) -> str:
         try:
-            callee = ast.unparse(node.func)
-        except Exception:  # noqa: BLE001  a callee that can't be written out isn't one
-            callee = ""
-        if callee and "\n" not in callee:
-            self.out.call(".".join(s for s, _ in self.stack) or "<module>", callee, node.lineno)
-        self.visit(node.func)
+            return ast.unparse(node)
+        except RecursionError:  # as it stands in the source, if on one line
+            if node.lineno != node.end_lineno:
+                return ""
+            return self.lines[node.lineno - 1].encode()[node.col_offset : node.end_col_offset].decode("utf-8", "replace")
 
 
 def parse_python(source: str, path: str) -> Parsed:
+    """What can't be parsed, or nests too deep to be walked, is read line by line and counts as one error."""
     try:
-        tree = ast.parse(source)
-    except (SyntaxError, ValueError, RecursionError):
+        visitor = _PythonVisitor(source)
+        visitor.visit(ast.parse(source))
+        return visitor.out
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
         out = Parsed(errors=1)
         for i, line in enumerate(source.splitlines(), 1):
             if m := re.match(r"(\s*)(?:async\s+)?(def|class)\s+(\w+)", line):
                 kind = "class" if m[2] == "class" else "method" if m[1] else "function"
                 out.symbol(m[3], m[3], kind, i, i, not m[1] and not m[3].startswith("_"), line.strip())
         return out
-    visitor = _PythonVisitor(source)
-    visitor.visit(tree)
-    return visitor.out
 
 
 # --- brace languages and Ruby ----------------------------------------------------------------------------------------
@@ -612,7 +624,10 @@ def parse_files(files: DataFrame, registry: dict[str, Parser] | None = None) ->
             rows = []
             for path, language, content in zip(b.path, b.language, b.content, strict=True):
                 parser = parsers.get(language)
-                p = parser(content, path) if parser and content is not None else Parsed(errors=1)
+                try:
+                    p = parser(content, path) if parser and content is not None else Parsed(errors=1)
+                except Exception:  # noqa: BLE001  whatever a parser or plugin raises costs its file one error, not the job
+                    p = Parsed(errors=1)
                 if re.search(r"(?:^|/)tests/(?:.*/)?test_[^/]*\.rs$", path or ""):
                     for s in p.symbols:
                         s["decorators"] = [*s["decorators"], "test"]

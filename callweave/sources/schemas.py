@@ -107,16 +107,18 @@ def tsconfig_aliases(text: str | None) -> list[tuple[str, str]]:
 
 
 def git_commit_files(spark: SparkSession, repo: str, commits: int = 500) -> DataFrame:
-    """(commit, ts, path) of the last commits from HEAD against their first parent; roots give no row. Empty without a
-    repository. One call of git on the driver, whose output is bounded by ``commits``."""
+    """(commit, ts, path) of the last commits that HEAD reaches, merged branches included, newest first, each against its
+    first parent; deleted paths count, roots give no row. Empty without a repository. One call of git on the driver,
+    whose output is bounded by ``commits``."""
+    command = ["git", "-C", repo, "log", f"-{commits}", "--diff-merges=first-parent", "--no-renames", "--name-only", "-z", "--format=%x01%H %ct %P"]
     rows, commit, ts = [], None, 0
-    got = subprocess.run(["git", "-C", repo, "log", f"-{commits}", "--first-parent", "-m", "--name-only", "--diff-filter=d", "--format=%x01%H %ct %P"], capture_output=True, text=True, check=False)
-    for line in got.stdout.splitlines():
-        if line.startswith("\x01"):
-            parts = line[1:].split(" ")
-            commit, ts = (parts[0] if len(parts) > 2 and parts[2] else None), int(parts[1])
-        elif line and commit:
-            rows.append((commit, ts, line))
+    for part in subprocess.run(command, capture_output=True, check=False).stdout.decode("utf-8", "replace").split("\0"):
+        part = part.lstrip("\n")
+        if part.startswith("\x01"):
+            head = part[1:].rstrip("\n").split(" ")
+            commit, ts = (head[0] if len(head) > 2 and head[2] else None), int(head[1])
+        elif part and commit:
+            rows.append((commit, ts, part))
     return spark.createDataFrame(rows, "commit string, ts long, path string")
 
 

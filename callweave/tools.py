@@ -1,7 +1,7 @@
 """The tool surface: 32 named questions to an indexed workspace, answered as DataFrames or JSON.
 
-``Workspace`` holds the relations of one store generation. ``ask(name, **parameters)`` returns the DataFrame of a tool;
-``answer`` the same as a JSON text whose rows are bounded by ``limit``.
+``Workspace`` holds the relations of one store generation. ``ask(name, **parameters)`` returns the DataFrame of a tool,
+or several by name for a tool whose answer has parts; ``answer`` the same as a JSON text whose rows are bounded by ``limit``.
 """
 
 from __future__ import annotations
@@ -76,20 +76,51 @@ class Workspace:
             raise LookupError(path)
         return row.id
 
-    def _context(self, symbol: str) -> DataFrame:
+    def _around(self, symbol: str) -> dict[str, DataFrame]:
+        """The symbol, its callers, callees and coupled files, and what parsing warned of."""
         k = self.symbol(symbol)
-        ins = impact.dependents(self.calls, self.imports, self.symbols, self.spark.createDataFrame([(k,)], "target long")).select(F.lit("dependent").alias("relation"), "id")
-        outs = impact.dependencies(self.calls, self.spark.createDataFrame([(k,)], "source long")).select(F.lit("dependency").alias("relation"), "id")
-        own = self.symbols.where(F.col("id") == k).select(F.lit("self").alias("relation"), "id")
-        return self._named(own.union(ins).union(outs))
-
-    def ask(self, tool: str, **p) -> DataFrame:
+        own = self.symbols.where(F.col("id") == k)
+        ins = impact.dependents(self.calls, self.imports, self.symbols, self.spark.createDataFrame([(k,)], "target long")).select("id").distinct()
+        outs = impact.dependencies(self.calls, self.spark.createDataFrame([(k,)], "source long")).select("id")
+        path = self.files.select(F.col("id").alias("partner"), "path")
+        return {
+            "symbol": own.join(self.files.select(F.col("id").alias("file_id"), "path"), "file_id").select("id", "name", "qualified_name", "kind", "path", "line_start", "line_end", "is_dead", "is_test"),
+            "callers": self._named(ins).orderBy("id"), "callees": self._named(outs).orderBy("id"),
+            "coupled_files": derive.file_couplings(self.coupling, own.first().file_id).join(path, "partner").orderBy(F.desc("strength"), "path"), "parse_warnings": lookups.parse_error_files(self.files),
+        }
+
+    def _file_summary(self, path: str) -> dict[str, DataFrame]:
+        k = self._file(path)
+        return {
+            "file": self.files.where(F.col("id") == k).select("id", "path", "language", "parse_error_count"), "symbols": self.symbols.where(F.col("file_id") == k).orderBy("line_start", "id"),
+            "imports": self.imports.where(F.col("file_id") == k).orderBy("line", "id").withColumn("resolved", F.col("resolved_symbol_id").isNotNull()),
+        }
+
+    def _boundaries(self) -> dict[str, DataFrame]:
+        members = self.symbols.where("community_id is not null").select("id", "community_id")
+        return {
+            "summary": derive.boundary_summary(self.communities), "modules": self.communities.orderBy(F.desc("symbol_count"), "id"), "top_files": derive.boundaries(members, self.symbols, self.files).orderBy("community_id", "rank"),
+            "cross_boundary_calls": derive.cross_community_calls(members, self.calls).orderBy(F.desc("n"), "from_community", "to_community"),
+        }
+
+    def _blast(self, symbol: str, max_depth: int = 10) -> dict[str, DataFrame]:
+        hit = settle(impact.blast_radius(self.edges, self._key(symbol), max_depth))
+        return {"summary": impact.blast_summary(hit, self.symbols, self.files), "affected": self._named(hit, "node").orderBy("depth", "node")}
+
+    def _diff(self, paths: list[str], max_depth: int = 5) -> dict[str, DataFrame]:
+        parts = impact.diff_impact(self.symbols, self.files, self.edges, self._changed(paths), max_depth)
+        return {"affected_symbol_details": parts["details"].orderBy("key", "depth", "id").limit(50), "affected_tests": parts["tests"].orderBy("name"), "review_focus": parts["focus"]}
+
+    def ask(self, tool: str, **p) -> DataFrame | dict[str, DataFrame]:
         return TOOLS[tool](self, **p)
 
     def answer(self, tool: str, limit: int = 500, **p) -> str:
+        def rows(df: DataFrame) -> list:
+            return [json.loads(r) for r in df.limit(limit).select(F.to_json(F.struct("*")).alias("j")).toPandas().j]
+
         try:
-            rows = [json.loads(r) for r in self.ask(tool, **p).limit(limit).select(F.to_json(F.struct("*")).alias("j")).toPandas().j]
-            return json.dumps({"tool": tool, "rows": rows})
+            got = self.ask(tool, **p)
+            return json.dumps({"tool": tool} | ({k: rows(v) for k, v in got.items()} if isinstance(got, dict) else {"rows": rows(got)}))
         except Ambiguous as e:
             return json.dumps({"tool": tool, "status": "ambiguous", "candidates": e.candidates})
         except LookupError as e:
@@ -121,23 +152,23 @@ def _links(w: Workspace) -> DataFrame:
 #: The tools by name; each takes the workspace and its own parameters.
 TOOLS: dict[str, Callable[..., DataFrame]] = {
     "search_symbol": lambda w, query, limit=20, fuzzy=True: search.search(w.symbols, query, limit, fuzzy),
-    "get_context": lambda w, symbol: w._context(symbol),
+    "get_context": lambda w, symbol: w._around(symbol),
     "get_imports": lambda w, path: w.imports.where(F.col("file_id") == w._file(path)).orderBy("line", "id"),
     "get_dependents": lambda w, symbol: w._named(impact.dependents(w.calls, w.imports, w.symbols, w._one(symbol, "target"))),
     "get_dependencies": lambda w, symbol: w._named(impact.dependencies(w.calls, w._one(symbol, "source"))),
     "get_call_chain": lambda w, symbol: impact.call_chain(w.edges, w.symbol(symbol), w.symbols),
-    "blast_radius": lambda w, symbol, max_depth=10: w._named(impact.blast_radius(w.edges, w._key(symbol), max_depth), "node").orderBy("depth", "node"),
+    "blast_radius": lambda w, symbol, max_depth=10: w._blast(symbol, max_depth),
     "detect_cycles": _cycles,
     "get_dependency_path": _dependency_path,
     "find_dead_code": lambda w: lookups.dead_symbols(w.symbols),
-    "get_file_summary": lambda w, path: lookups.file_symbols(w.symbols, w.files, path),
+    "get_file_summary": lambda w, path: w._file_summary(path),
     "get_complexity": lambda w: metrics.counts(w.files, w.symbols, w.calls),
-    "get_boundaries": lambda w: derive.boundaries(w.symbols.where("community_id is not null").select("id", "community_id"), w.symbols, w.files),
-    "diff_impact": lambda w, paths, max_depth=5: impact.diff_impact(w.symbols, w.files, w.edges, w._changed(paths), max_depth).orderBy(F.desc("n"), "path").limit(20),
+    "get_boundaries": lambda w: w._boundaries(),
+    "diff_impact": lambda w, paths, max_depth=5: w._diff(paths, max_depth),
     "affected_tests": lambda w, paths: impact.affected_tests(w.symbols, w.edges, w._changed(paths), by_name=True),
     "compute_file_risk": _file_risk,
     "propose_edit_plan": lambda w, symbol: w._named(impact.edit_plan(w.edges, w.symbol(symbol)), "node").orderBy("depth", "node"),
-    "why_symbol": lambda w, symbol: w._named(impact.blast_radius(w.edges, w._key(symbol), 5), "node").orderBy("depth", "node"),
+    "why_symbol": lambda w, symbol: w._around(symbol) | w._blast(symbol, 5),
     "get_heritage": lambda w, symbol: lookups.heritage_of(w.heritage, w.symbol(symbol)),
     "get_execution_flows": lambda w, symbol: impact.execution_flows(w.flow_steps, w.symbol(symbol)),
     "get_symbol_history": lambda w, symbol: w.symbol_history.where(F.col("symbol_id") == w.symbol(symbol)),
