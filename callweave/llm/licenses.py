@@ -6,11 +6,12 @@ same way until no anchor is left. What is left of a gap counts by the matching w
 the share of the template's words that are aligned.
 
 Alignment happens inside windows: a template's rare words mark the places of a text where it can stand, and marks
-within the template's length of each other share a window. A text that holds none of the marks of any template can't
+within the template's length of each other share a window. All places apart are reported; a place may span twice the
+template's length at most, and one within a place with more aligned words is part of that. A text that holds none of the marks of any template can't
 reach the threshold (a template has more marks than it may miss words), so the scan skips it where it is read.
 
-Edge cases: a null or empty text holds no license; repeated rows are judged one by one; the same template twice in a
-text is reported once, with its best window; an empty table gives an empty result; further columns are not read.
+Edge cases: a null or empty text holds no license; repeated rows are judged one by one; of equally likely
+places that overlap the first counts; a very long text is held whole by one task; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -33,9 +34,17 @@ TEMPLATES = {
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
+    "BSD-3-Clause-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "LGPL-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
 }
@@ -109,49 +118,71 @@ class Scanner:
         return r"(?iU)\b(?:" + "|".join(sorted({w for m in self.marks.values() for w in m})) + r")\b"
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """[(license, coverage, first word, end word)] of a whole text, in order of names."""
+        """[(license, coverage, first word, end word)] of all places in a whole text, by name and place."""
         w = words(text)
         places: dict[str, list[int]] = {}
         every = set().union(*self.marks.values()) if self.marks else set()
         for i, x in enumerate(w):
             if x in every:
                 places.setdefault(x, []).append(i)
-        out = []
-        for name in sorted(self.templates):
-            t = self.templates[name]
+        found = []
+        for name, t in self.templates.items():
             spots = sorted(i for m in self.marks[name] for i in places.get(m, ()))
-            best = None
-            while spots:
-                n = 1
+            at = 0
+            while at < len(spots):
+                n = at + 1
                 while n < len(spots) and spots[n] - spots[n - 1] <= len(t):
                     n += 1
-                lo, hi = max(0, spots[0] - len(t)), min(len(w), spots[n - 1] + len(t) + 1)
-                spots = spots[n:]
-                for first, end, n in self._found(w, lo, hi, t, self.marks[name]):
-                    if best is None or n / len(t) > best[1]:
-                        best = (name, n / len(t), first, end)
-            if best:
-                out.append(best)
-        return out
-
+                lo, hi = max(0, spots[at] - len(t)), min(len(w), spots[n - 1] + len(t) + 1)
+                found += [(name, k / len(t), first, end) for first, end, k in self._found(w, lo, hi, t, self.marks[name])]
+                at = n
+        # what lies within the place of one with more aligned words, or of equally many a greater coverage, is part of it
+        held, out = sorted(found, key=lambda f: (-round(f[1] * len(self.templates[f[0]])), -f[1], f[2], f[0])), []
+        spans: list[tuple[int, int]] = []  # apart and in order
+        for f in held:
+            k = bisect_left(spans, (f[2] + 1,)) - 1
+            if k >= 0 and spans[k][1] >= f[3]:
+                continue
+            out.append(f)
+            k += 1
+            if (k == 0 or spans[k - 1][1] <= f[2]) and (k == len(spans) or spans[k][0] >= f[3]):
+                spans.insert(k, (f[2], f[3]))
+        return sorted(out, key=lambda f: (f[0], f[2]))
 
     def _found(self, w: list[str], lo: int, hi: int, t: list[str], marks: set[str]) -> Iterator[tuple[int, int, int]]:
-        """(first word, end word, aligned words) of the template in w[lo:hi], if it reaches the threshold there."""
-        least, need = self.threshold * len(t), Counter(t)
+        """(first word, end word, aligned words) of the places apart in w[lo:hi] where the template reaches the threshold."""
+        size, need = len(t), Counter(t)
+        least = self.threshold * size
         if sum(min(n, need[x]) for x, n in Counter(w[lo:hi]).items() if x in need) < least:
             return
-        pairs = align(w[lo:hi], t)
-        if len(pairs) >= least and pairs[-1][0] - pairs[0][0] < 2 * len(t):
-            yield lo + pairs[0][0], lo + pairs[-1][0] + 1, len(pairs)
-            return
-        # A text that states it several times has no unique words: align one place at a time, the likeliest first.
-        votes = Counter(i - k for k, x in enumerate(t) if x in marks for i in range(lo, hi) if w[i] == x)
+        used = bytearray(hi - lo)
+
+        def tried(a: int, b: int) -> tuple[int, int, int] | None:
+            pairs = align(w[a:b], t)
+            if len(pairs) < least:
+                return None
+            first, end = a + pairs[0][0], a + pairs[-1][0] + 1
+            return None if end - first > 2 * size or any(used[first - lo : end - lo]) else (first, end, len(pairs))
+
+        def taken(got: tuple[int, int, int]) -> tuple[int, int, int]:
+            used[got[0] - lo : got[1] - lo] = b"\1" * (got[1] - got[0])
+            return got
+
+        if hi - lo <= 4 * size and (got := tried(lo, hi)):
+            yield taken(got)
+        # A text that states it several times has no unique words: one place at a time, the likeliest first, as long as
+        # the template and then twice that.
+        starts: dict[str, list[int]] = {}
+        for k, x in enumerate(t):
+            if x in marks:
+                starts.setdefault(x, []).append(k)
+        votes = Counter(i - k for i in range(lo, hi) if w[i] in starts for k in starts[w[i]])
         for start, _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
             a = max(lo, start)
-            pairs = align(w[a : start + len(t)], t)
-            if len(pairs) >= least:
-                yield a + pairs[0][0], a + pairs[-1][0] + 1, len(pairs)
-                return
+            if used[min(a - lo + size // 2, len(used) - 1)]:
+                continue
+            if got := tried(a, min(hi, start + size)) or tried(max(lo, a - size // 2), min(hi, start + size + size // 2)):
+                yield taken(got)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -530,7 +530,13 @@ def test_lm_edges(spark):
 def test_licenses(spark):
     s = licenses.Scanner(licenses.TEMPLATES)
     assert [x[0] for x in s.scan("Intro. Released under the MIT License. More.")] == ["MIT-notice"]
-    assert [x[0] for x in s.scan("Released under the MIT License.\n" * 5)] == ["MIT-notice"]
+    assert [x[2:] for x in s.scan("Released under the MIT License.\n" * 5)] == [(5 * k, 5 * k + 5) for k in range(5)]
+    assert len(s.scan("Released under the MIT License. " * 20_000)) == 20_000
+    assert [x[0] for x in s.scan(licenses.TEMPLATES["BSD-3-Clause"])] == ["BSD-3-Clause"] and [x[0] for x in s.scan(licenses.TEMPLATES["BSD-2-Clause"])] == ["BSD-2-Clause"]
+    for name, t in licenses.TEMPLATES.items():
+        got = s.scan(f"before all {t} between them {t} after")
+        n = len(licenses.words(t))
+        assert [(x[0], x[1], x[3] - x[2]) for x in got] == [(name, 1.0, n)] * 2, name
     changed = licenses.TEMPLATES["BSD-2-Clause"].replace("binary", "object").replace("disclaimer", "note", 1)
     name, coverage, first, end = s.scan("x " * 500 + changed + " y" * 500)[0]
     assert name == "BSD-2-Clause" and 0.9 < coverage < 1 and first == 500
@@ -540,6 +546,31 @@ def test_licenses(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_alignment_against_longest_common_subsequence():
+    """No alignment is longer than the longest common subsequence, and edits of a template are aligned nearly as well."""
+
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            last = row
+            row = [0]
+            for k, y in enumerate(b):
+                row.append(last[k] + 1 if x == y else max(last[k + 1], row[k]))
+        return row[-1]
+
+    rng = np.random.default_rng(5)
+    for name, t in licenses.TEMPLATES.items():
+        w = licenses.words(t)
+        for _ in range(6):
+            edited = [x for x in w if rng.random() > 0.05]
+            for _ in range(len(w) // 20):
+                edited.insert(int(rng.integers(0, len(edited))), f"new{rng.integers(9)}")
+            n, best = len(licenses.align(edited, w)), longest(edited, w)
+            assert n <= best and n >= 0.9 * best - 1, name
+            found = [x for x in licenses.Scanner({name: t}).scan("x y " + " ".join(edited) + " z")]
+            assert bool(found) == (n >= 0.8 * len(w))
+
+
 def test_alignment_keeps_order():
     pairs = licenses.align("b a c d x e".split(), "a b c d e".split())
     assert all(p < r and q < s for (p, q), (r, s) in zip(pairs, pairs[1:])) and len(pairs) >= 4
