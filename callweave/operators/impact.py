@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from callweave.plans.checkpoints import settle
+from callweave.plans.checkpoints import forget, settle
 from callweave.plans.graph import connected_components, frontier_bfs
 
 
@@ -87,16 +87,19 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     while True:
         n = -1
         while n != (n := left.count()) and n:
+            old = left
             for _ in range(2):  # two layers a round
                 left = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
             left = settle(left)
+            forget(old)
         if not n:
             break
-        colour = settle(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("c", F.col("node")))
+        colour = last = settle(left.select(F.col("src").alias("node")).union(left.select("dst")).distinct().withColumn("c", F.col("node")))
         while True:
             low = left.join(colour, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
             new = settle(colour.join(low, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")))
-            colour = new.select("node", "c")
+            forget(last)
+            last, colour = new, new.select("node", "c")
             if not new.where("moved").head(1):
                 break
         ends = left.join(colour.withColumnsRenamed({"node": "src", "c": "cs"}), "src").join(colour.withColumnsRenamed({"node": "dst", "c": "cd"}), "dst").where("cs = cd")

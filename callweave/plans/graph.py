@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from callweave.plans.checkpoints import settle
+from callweave.plans.checkpoints import forget, settle
 
 
 #: Rows of a frontier that are broadcast at most.
@@ -38,8 +38,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = settle(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
-                   .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        old, e = e, settle(small.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
+                           .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        forget(old)
         now = _print(e)
         if now == seen:
             break
@@ -80,7 +81,7 @@ def frontier_bfs(
         .select("key", "node", F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"), *([F.array().cast(T.ArrayType(kind)).alias("path")] if paths else []))
     )
     best = [F.min("_s").alias("parent"), *([F.min_by(F.concat("path", F.array("_s")), "_s").alias("path")] if paths else [])]
-    depth, front, size = 0, seen, seen.count()
+    depth, front, size, pieces = 0, seen, seen.count(), [seen]
     while size and (max_depth is None or depth < max_depth):
         # a frontier that is counted small goes to the edges, which then stay where they are
         near = F.broadcast(front) if size <= FRONTIER else front
@@ -97,8 +98,12 @@ def frontier_bfs(
             break
         depth += 1
         seen = seen.union(front)
+        pieces.append(front)
         if depth % 10 == 0:
             seen = settle(seen)  # a deep search would else read ever more small pieces
+            forget(*pieces[:-1])
+            pieces = [front, seen]
+    forget(step)
     return seen
 
 
