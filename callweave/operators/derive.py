@@ -109,10 +109,13 @@ def blame_to_symbols(blame: DataFrame, symbols: DataFrame, files: DataFrame) ->
 def symbol_history(rows: DataFrame, as_of: Column, days: int = 30, volatile: int = 3) -> DataFrame:
     """(symbol_id, created_at, last_modified_at, modification_count, author_count, is_volatile): volatile with more than
     three commits in the last 30 days before ``as_of`` (epoch seconds)."""
-    recent = F.count_distinct(F.when(F.col("ts") >= as_of - days * 86400, F.col("commit")))
-    return rows.groupBy("symbol_id").agg(
-        F.min("ts").alias("created_at"), F.max("ts").alias("last_modified_at"), F.count_distinct("commit").alias("modification_count"), F.count_distinct("author").alias("author_count"), (recent > volatile).alias("is_volatile")
-    )
+    # commits and authors are each folded to one row before they are counted: no row is repeated for a distinct count
+    last = F.max(F.col("ts") >= as_of - days * 86400).cast("int").alias("recent")
+    commits = rows.groupBy("symbol_id", "commit").agg(F.min("ts").alias("a"), F.max("ts").alias("b"), last)
+    seen = F.col("commit").isNotNull()
+    per = commits.groupBy("symbol_id").agg(F.min("a").alias("created_at"), F.max("b").alias("last_modified_at"), F.count("commit").alias("modification_count"), (F.count_if(seen & (F.col("recent") == 1)) > volatile).alias("is_volatile"))
+    authors = rows.select("symbol_id", "author").distinct().groupBy("symbol_id").agg(F.count("author").alias("author_count"))
+    return per.join(authors, "symbol_id").select("symbol_id", "created_at", "last_modified_at", "modification_count", "author_count", "is_volatile")
 
 
 def service_topology(api: DataFrame) -> DataFrame:

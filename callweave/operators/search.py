@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from callweave.functions.text import escaped, jaro_winkler, tokens
+from callweave.plans.checkpoints import settle
 
 FIELDS, K1, B, MAX_BYTES = ("name", "qualified_name", "signature"), 1.2, 0.75, 500
 
 
-def postings(symbols: DataFrame) -> DataFrame:
-    """(id, field, pos, token): the inverted index of names, qualified names and signatures."""
-    out = None
-    for k, field in enumerate(FIELDS):
-        rows = symbols.select("id", F.lit(k).alias("field"), F.posexplode(tokens(F.coalesce(field, F.lit("")))).alias("pos", "token"))
-        out = rows if out is None else out.union(rows)
-    return out
+@dataclass(frozen=True)
+class Index:
+    """postings (id, field, pos, token) of names, qualified names and signatures; lengths (id, n), n tokens of a symbol;
+    totals, one row (mean, docs)."""
+
+    postings: DataFrame
+    lengths: DataFrame
+    totals: DataFrame
+
+
+def index_of(symbols: DataFrame, settled: bool = False) -> Index:
+    """The inverted index; ``settled`` computes it once for many questions."""
+    words = F.array(*(tokens(F.coalesce(f, F.lit(""))) for f in FIELDS))
+    rows = symbols.select("id", F.posexplode(words).alias("field", "w")).select("id", "field", F.posexplode("w").alias("pos", "token"))
+    lengths = symbols.select("id", F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + F.size(w)).alias("n")).where("n > 0")
+    if settled:
+        rows, lengths = settle(rows), settle(lengths)
+    totals = lengths.agg(F.avg("n").alias("mean")).crossJoin(symbols.agg(F.count("*").alias("docs")))
+    return Index(rows, lengths, settle(totals) if settled else totals)
 
 
 def query_tokens(query: str) -> list[str]:
@@ -35,18 +50,17 @@ def phrase_hits(index: DataFrame, words: list[str]) -> DataFrame:
     return out
 
 
-def fts_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
+def fts_search(symbols: DataFrame, query: str, limit: int = 20, index: Index | None = None) -> DataFrame:
     """(id, score): symbols with the phrase, by bm25 over all three fields as one document; ties by id."""
     words = query_tokens(query)
     if not words or len(query.encode()) > MAX_BYTES:
         return symbols.select("id", F.lit(0.0).alias("score")).where("false")
-    index = postings(symbols)
-    tf = phrase_hits(index, words).groupBy("id").agg(F.count("*").alias("tf"))
-    length = index.groupBy("id").agg(F.count("*").alias("n"))
-    totals = length.agg(F.avg("n").alias("mean")).crossJoin(symbols.agg(F.count("*").alias("docs"))).crossJoin(tf.agg(F.count("*").alias("df")))  # one row
+    index = index or index_of(symbols)
+    tf = phrase_hits(index.postings, words).groupBy("id").agg(F.count("*").alias("tf"))
+    totals = index.totals.crossJoin(tf.agg(F.count("*").alias("df")))  # one row
     idf = F.greatest(F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     score = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    return tf.join(length, "id").crossJoin(F.broadcast(totals)).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    return tf.join(index.lengths, "id").crossJoin(F.broadcast(totals)).select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
 def like_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
@@ -65,11 +79,11 @@ def fuzzy_search(symbols: DataFrame, query: str, limit: int = 20) -> DataFrame:
     return pool.select("id", "name", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
 
 
-def search(symbols: DataFrame, query: str, limit: int = 50, fuzzy: bool = True) -> DataFrame:
+def search(symbols: DataFrame, query: str, limit: int = 50, fuzzy: bool = True, index: Index | None = None) -> DataFrame:
     """(id, name, score): full text, else substrings; filled up by edit distance and ranked by Jaro-Winkler if fuzzy.
     A symbol stands once, where it was found first; equal scores keep the order of finding."""
     named = symbols.select("id", "name")
-    fts = fts_search(symbols, query, limit).join(named, "id").select("id", "name", "score", F.lit(1).alias("source"))
+    fts = fts_search(symbols, query, limit, index).join(named, "id").select("id", "name", "score", F.lit(1).alias("source"))
     like = like_search(symbols, query, limit).select("id", "name", "score", F.lit(2).alias("source"))
     best = fts.union(like)
     first = best.agg(F.coalesce(F.min("source"), F.lit(0)).alias("first"), F.count_if(F.col("source") == 1).alias("n1"), F.count_if(F.col("source") == 2).alias("n2"))  # one row

@@ -45,6 +45,10 @@ class Workspace:
     def edges(self) -> DataFrame:
         return settle(impact.call_edges(self.calls))
 
+    @cached_property
+    def index(self) -> search.Index:
+        return search.index_of(self.symbols, settled=True)
+
     def symbol(self, wanted: str, file: str | None = None) -> int:
         """The id of a symbol by name; LookupError if there is none, Ambiguous if there are several."""
         rows = lookups.resolve_symbol_by_name(self.symbols, self.files, wanted, file).limit(100).collect()
@@ -151,7 +155,7 @@ def _links(w: Workspace) -> DataFrame:
 
 #: The tools by name; each takes the workspace and its own parameters.
 TOOLS: dict[str, Callable[..., DataFrame]] = {
-    "search_symbol": lambda w, query, limit=20, fuzzy=True: search.search(w.symbols, query, limit, fuzzy),
+    "search_symbol": lambda w, query, limit=20, fuzzy=True: search.search(w.symbols, query, limit, fuzzy, w.index),
     "get_context": lambda w, symbol: w._around(symbol),
     "get_imports": lambda w, path: w.imports.where(F.col("file_id") == w._file(path)).orderBy("line", "id"),
     "get_dependents": lambda w, symbol: w._named(impact.dependents(w.calls, w.imports, w.symbols, w._one(symbol, "target"))),
