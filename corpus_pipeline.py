@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. ``run`` writes what a stage keeps as Parquet into the
-shared folder and reads it again for the next; the last stage returns the packed pieces.
+shared folder and reads it again for the next, whose own table takes its place; the last stage returns the packed pieces.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from callweave.llm import decontaminate, language, neardup, packing, quality
 from callweave.llm.common import shared_dir, table
+from callweave.plans.checkpoints import remove
 
 #: Below this score a text is unlike every language that was learned.
 MIN_LANGUAGE_SCORE = 0.2
+#: Words that a text needs: a short text isn't a bad one, so only those without a word go for their length.
+LEAST_WORDS = 1
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +27,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that no rule rejects."""
-    return quality.keep(docs)
+    return quality.keep(docs, [*quality.base_rules(LEAST_WORDS), *quality.standard_rules()])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
