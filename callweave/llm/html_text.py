@@ -63,7 +63,8 @@ _token = re.compile(
 )
 _plain = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _attribute = re.compile(r"""(?<![a-zA-Z-])([a-zA-Z-]++)\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
-_edge = re.compile(r"^\W+|[\W_]+$")
+#: What may stand at the edges of a word.
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\u00ab\u00bb\u201c\u201d\u201e\u2018\u2019\u2039\u203a\u2026\u2013\u2014\u00bf\u00a1\u00b7\u2022"
 
 
 @dataclass
@@ -207,7 +208,7 @@ def blocks(page: str) -> list[Block]:
 
 
 def stop_share(text: str) -> float:
-    words = [w for w in (_edge.sub("", w).lower() if len(w) < 64 else w for w in text.split()) if w]  # a stop word is short
+    words = [w for w in (w.strip(EDGES) for w in text.lower().split()) if w]
     return sum(w in STOP_WORDS for w in words) / len(words) if words else 0.0
 
 
