@@ -239,6 +239,37 @@ def test_simhash_contract(spark):
     assert sorted(r.doc_id for r in neardup.keep_one(frame(spark)).collect())[:3] == [1, 1, 2]
 
 
+def test_simhash_components_brute_force(spark):
+    """component_id of whole real texts, over all pairs; and with groups so small that hot ones are split both ways."""
+    docs = texts(spark, "/root/testdata/sf0.01")
+    rows = docs.collect()
+    fps = np.array([neardup.simhash(None if r.text is None else r.text.encode()) for r in rows], np.uint64)
+    root = list(range(len(rows)))
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in (np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 3) + i + 1).tolist():
+            x, y = top(i), top(j)
+            root[max(x, y)] = min(x, y)
+    low = {}
+    for i, r in enumerate(rows):
+        low[top(i)] = min(low.get(top(i), r.doc_id), r.doc_id)
+    want = {r.doc_id: low[top(i)] for i, r in enumerate(rows)}
+    assert {r.doc_id: r.component_id for r in neardup.digest(docs).collect()} == want
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(docs, group=4).collect()} == want
+
+
+def test_near_copies_in_small_chunks(spark):
+    """Clusters and groups dealt out as pairs of chunks give the same components."""
+    docs = texts(spark, "/root/testdata/sf0.01")
+    whole = sorted(map(tuple, neardup.near_copies(docs).collect()))
+    assert sorted(map(tuple, neardup.near_copies(docs, group=4, held_bytes=4096).collect())) == whole and len({c for _, c in whole}) < len(whole)
+
+
 def test_pipeline_near_duplicates_brute_force(spark):
     import corpus_pipeline
 
