@@ -245,6 +245,12 @@ def boost_schema_matches(api_calls: DataFrame, endpoints: DataFrame) -> DataFram
     return calls.join(best, same, "left").select("id", "endpoint_id")
 
 
+def _grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1)))
+    return F.filter(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))), lambda x: F.length(x) == n)
+
+
 def find_handlers(endpoints: DataFrame, symbols: DataFrame) -> DataFrame:
     """(id, handler_symbol_id) for endpoints (id, method, path_pattern, operation_id): the operation's name, else the
     name made of method and path, else a function whose name has the method and then the last segment. An empty
@@ -263,7 +269,7 @@ def find_handlers(endpoints: DataFrame, symbols: DataFrame) -> DataFrame:
     run = _longest(F.split(last, r"[%_\\]+"))
     part = e.select("id", F.concat(F.lit("%"), F.lower("method"), F.lit("%"), last, F.lit("%")).alias("p"), last.alias("last"), F.when(F.length(run) >= 2, run).otherwise(F.lower("method")).alias("run")).where("last <> ''")
     part = broadcast_if_small(part.withColumn("_k", F.when(F.length("run") >= 4, F.substring("run", 1, 4)).otherwise(F.substring("run", 1, 2))))
-    grams = [F.when(F.length("lname") >= n, F.transform(F.sequence(F.lit(1), F.length("lname") - (n - 1)), lambda i, n=n: F.substring("lname", i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in (4, 2)]
+    grams = [_grams(F.col("lname"), n) for n in (4, 2)]
     inside = s.where(F.col("kind").isin("function", "method")).select("sid", "lname").withColumn("_k", F.explode(F.array_distinct(F.concat(*grams))))
     part = inside.join(part, "_k").where(F.call_function("like", F.col("lname"), F.col("p"))).groupBy("id").agg(F.min("sid").alias("_part"))
     return endpoints.select("id").join(op, "id", "left").join(named, "id", "left").join(part, "id", "left").select("id", F.coalesce("_op", "_by_name", "_part").alias("handler_symbol_id"))

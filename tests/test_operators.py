@@ -67,6 +67,74 @@ def test_call_passes(spark, small):
     assert (elsewhere.callee_symbol_id, elsewhere.resolution) == (3, "same_service")
 
 
+def test_hot_names_resolve_the_same(spark, small, monkeypatch):
+    s, f = small
+    rows = [(k, n, 1 + k % 3) for k, n in enumerate(["foo", "bar", "x.foo", "y.bar", "nothing", "resolve"] * 5)]
+    calls = spark.createDataFrame(rows, "id long, callee_name string, file_id long")
+    imports = spark.createDataFrame([(1, 1, "foo", 2, False)], "id long, file_id long, imported_name string, resolved_file_id long, is_external boolean")
+    plain = sorted(map(str, resolution.resolve_calls(calls, s, f, imports).collect()))
+    monkeypatch.setattr(resolution.hot_values, "__defaults__", (1,))
+    assert sorted(map(str, resolution.resolve_calls(calls, s, f, imports).collect())) == plain and len(plain) == len(rows)
+
+
+def test_api_matches_brute_force(spark):
+    """Every endpoint against every url, with wildcards, parameters, odd slashes, short and empty parts."""
+    import re
+
+    parts = ["users", "us", "u", "{id}", "orders_x", "a%b", "", "resource-with-a-long-name", "Ünï"]
+    paths = [None, "", "/", "users", "{id}", "%", *(f"/{a}" for a in parts), *(f"/{a}/{b}" for a in parts for b in parts[:5]), *(f"{a}/{b}" for a in parts[:3] for b in parts[:4])]
+    endpoints = [(k, k % 3, "GET" if k % 4 else "POST", p, "http" if k % 5 else "grpc") for k, p in enumerate(paths)]
+    urls = [None, "", "/", "https://h/users/7", "/US/{id}", "/users", "xusers", "/orders-x/us", "/acccb/u", "/RESOURCE-with-a-long-name-and-more", "h/ünï/users/orders_x", "/u/us", "{id}", "/{id}/users"]
+    calls = [(k, "GET" if k % 3 else "POST", u, "http" if k % 2 else "grpc") for k, u in enumerate(urls * 3)]
+    e = spark.createDataFrame(endpoints, "id long, service_id long, method string, path_pattern string, protocol string")
+    c = spark.createDataFrame(calls, "id long, method string, url_pattern string, protocol string")
+
+    def like(text, pattern):
+        return re.fullmatch("".join(".*" if x == "%" else "." if x == "_" else re.escape(x) for x in pattern.lower()), text.lower(), re.S)
+
+    got = {r.id: r.endpoint_id for r in resolution.resolve_api_calls(c, e).collect()}
+    boost = {r.id: r.endpoint_id for r in resolution.boost_schema_matches(c, e).collect()}
+    assert len(got) == len(boost) == len(calls)
+    for k, m, u, proto in calls:
+        assert got[k] == min((i for i, _, em, p, _ in endpoints if u is not None and p is not None and em == m and like(u, f"%{p}%")), default=None), u
+        want = []
+        for i, _, em, p, ep in endpoints:
+            if u is None or p is None or em != m or ep not in (proto, "http"):
+                continue
+            fixed = "/".join(x for x in p.split("/") if not x.startswith("{"))
+            if p in u or fixed not in ("", "/") and fixed.lower() in u.lower():
+                want.append(i)
+        assert boost[k] == min(want, default=None), u
+
+
+def test_handlers_brute_force(spark):
+    import re
+
+    names = ["getUsers", "get_users", "forgetUsers", "post_orders", "getX", "list", "gEt_a_b", "getOrdersById"]
+    symbols = [(k, n, f"Api.{n}", "function" if k % 3 else "class") for k, n in enumerate(names)]
+    asks = [(k, m, p, o) for k, (m, p, o) in enumerate([("get", "/users", None), ("get", "/users", "getUsers"), ("get", "/a/b", None), ("post", "/orders/", None), ("get", "/x", "users"), ("get", "/zzz", "GETUSERS"), ("get", "/", None), ("get", "/{id}", None), ("get", "/or_ers", None), ("get", "/u", ""), ("get", "/s", "x")])]
+    e = spark.createDataFrame(asks, "id long, method string, path_pattern string, operation_id string")
+    got = {r.id: r.handler_symbol_id for r in resolution.find_handlers(e, spark.createDataFrame(symbols, "id long, name string, qualified_name string, kind string")).collect()}
+    for k, m, p, o in asks:
+        op = [i for i, n, q, _ in symbols if o and (n == o or q.lower().endswith(o.lower()))]
+        made = f"{m}_{re.sub('[{}]', '', p.lstrip('/').replace('/', '_'))}".lower()
+        last = re.sub("[{}]", "", p.rstrip("/").split("/")[-1]).lower()
+        pattern = ".*" + m + ".*" + "".join("." if x == "_" else re.escape(x) for x in last) + ".*"
+        inside = [i for i, n, _, kind in symbols if last and kind in ("function", "method") and re.fullmatch(pattern, n.lower())]
+        want = min(op, default=None) if op else min((i for i, n, _, _ in symbols if n.lower() == made), default=min(inside, default=None))
+        assert got[k] == want, (k, m, p, o)
+
+
+def test_shortest_paths(spark):
+    e = edges(spark, [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5), (5, 1)])
+    pairs = spark.createDataFrame([(1, 5), (4, 3), (9, 1)], "src long, dst long")
+    got = {}
+    for r in impact.shortest_paths(e, pairs).orderBy("step").collect():
+        got.setdefault((r.src, r.dst), []).append(r.node)
+    assert got == {(1, 5): [1, 2, 4, 5], (4, 3): [4, 5, 1, 3]}
+    assert impact.shortest_paths(e, pairs.select("src").where("src = 1")).select("dst").distinct().count() == 5
+
+
 def test_imports(spark, small):
     s, f = small
     rows = [(1, 1, "foo", "./lib/b", False), (2, 1, "foo", "@/lib/b.ts", True), (3, 1, "x", "react", True), (4, 3, "bar", "crate::store::bar", False), (5, 1, "y", "./lib", False)]
