@@ -93,7 +93,7 @@ def test_language_accuracy_and_brute_force(spark):
     assert all(got[r.doc_id].held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= got[r.doc_id].score <= 1 for r in rows)
     p = language.fit(language.train_fold(docs))
     lists = {lang: [int(c) for _, c in sorted((r, c) for c, r in zip(p.codes.tolist(), p.ranks[:-1, k].tolist()) if r >= 0)] for k, lang in enumerate(p.langs)}
-    assert all(_out_of_place(r.text, lists) == got[r.doc_id].lang_pred for r in rows[:25])
+    assert all(_out_of_place(r.text, lists) == got[r.doc_id].lang_pred for r in rows if r.text is None or len(r.text) < 3000)
 
 
 def test_language_edges(spark):
