@@ -578,7 +578,8 @@ def entry_points(g: Graph) -> DataFrame:
 # --- graph -----------------------------------------------------------------------------------------------------------
 
 #: Searches start from every symbol whose id is divisible by 20. The oracles' recursions need a bound to end on cycles;
-#: where the operator has none, theirs lies beyond every distance (DEEP).
+#: where the operator has none, theirs (DEEP) lies beyond every distance of the test tables. A deeper graph has more rows
+#: in the query than in the oracle: those at depths beyond the bound.
 DEEP = 64
 UP = ", up AS (SELECT id AS key, id AS node, 0 AS depth FROM symbols WHERE id % 20 = 0 UNION SELECT key, src, depth + 1 FROM up JOIN edges ON dst = node WHERE src <> dst AND depth < {0}), upd AS (SELECT key, node, min(depth) AS depth FROM up GROUP BY 1, 2) "
 DOWN = ", dn AS (SELECT id AS key, id AS node, 0 AS depth FROM symbols WHERE id % 20 = 0 UNION SELECT key, dst, depth + 1 FROM dn JOIN edges ON src = node WHERE src <> dst AND depth < {0}), dnd AS (SELECT key, node, min(depth) AS depth FROM dn GROUP BY 1, 2) "

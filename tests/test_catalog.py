@@ -44,3 +44,28 @@ def test_query(spark, duck, name):
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
     assert mine == sorted(tuple(norm(r[i]) for i in order) for r in found.fetchall())
+
+
+@pytest.fixture(scope="module")
+def chain(tmp_path_factory):
+    """A folder whose code graph is one chain of calls 0 -> 1 -> ... -> 66 with an entry point at 0, and DuckDB over it."""
+    folder, con = tmp_path_factory.mktemp("chain"), duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    rows = {
+        "part": "SELECT * REPLACE (i AS p_partkey, CASE i WHEN 0 THEN 1 ELSE 7 END::INTEGER AS p_size) FROM one, range(67) r(i)",
+        "supplier": "SELECT * REPLACE (0::BIGINT AS s_suppkey) FROM one",
+        "lineitem": "SELECT * REPLACE (0::BIGINT AS l_orderkey, i AS l_partkey, 0::BIGINT AS l_suppkey, i::INTEGER AS l_linenumber, 50::DOUBLE AS l_quantity) FROM one, range(67) r(i)",
+    }
+    for t in NAMES:
+        body = rows.get(t, "FROM one")
+        con.execute(f"COPY (WITH one AS (FROM '{SF}/{t}.parquet' LIMIT 1) {body}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    return str(folder), con
+
+
+def test_flows_go_deeper_than_their_oracle(spark, chain):
+    """The recursion of the oracle stops at 64 calls; the query has no such bound."""
+    folder, con = chain
+    got = sorted(map(tuple, catalog.queries()["flows"](spark, folder).collect()))
+    assert got == [(0, k, k, k) for k in range(67)]  # flow_id, symbol_id, step_order, depth
+    assert sorted(con.execute(catalog.oracle_sql()["flows"]).fetchall()) == [r for r in got if r[3] <= catalog.DEEP]
