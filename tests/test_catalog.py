@@ -69,3 +69,11 @@ def test_flows_go_deeper_than_their_oracle(spark, chain):
     got = sorted(map(tuple, catalog.queries()["flows"](spark, folder).collect()))
     assert got == [(0, k, k, k) for k in range(67)]  # flow_id, symbol_id, step_order, depth
     assert sorted(con.execute(catalog.oracle_sql()["flows"]).fetchall()) == [r for r in got if r[3] <= catalog.DEEP]
+
+
+def test_shortest_paths_go_deeper_than_their_oracle(spark, chain):
+    """As above, for whole paths: the sources are the ids divisible by 20."""
+    folder, con = chain
+    got = sorted(map(tuple, catalog.queries()["shortest_path"](spark, folder).collect()))
+    assert got == [(s, d, k, s + k) for s in range(0, 67, 20) for d in range(s, 67) for k in range(d - s + 1)]  # src, dst, step, node
+    assert sorted(con.execute(catalog.oracle_sql()["shortest_path"]).fetchall()) == [r for r in got if r[1] - r[0] <= catalog.DEEP]
